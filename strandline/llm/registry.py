@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.llm import toxicity
+from strandline.llm import minhash, toxicity
 
 QUERIES = {
+    "op4_minhash_near_dedup": minhash.query,
     "op9_toxicity": toxicity.query,
 }
 
