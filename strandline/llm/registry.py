@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import minhash, toxicity
+from strandline.llm import decontaminate, minhash, toxicity
 
 QUERIES = {
     "op4_minhash_near_dedup": minhash.query,
+    "op5_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
 }
 
