@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, minhash, toxicity
+from strandline.llm import decontaminate, minhash, secrets, toxicity
 
 QUERIES = {
+    "op2_secret_scan": secrets.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_secret_scan": secrets.oracle(),
+}
