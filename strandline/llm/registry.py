@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, minhash, secrets, toxicity
+from strandline.llm import decontaminate, minhash, packing, secrets, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
+    "op10_best_fit_packing": packing.query,
 }
 
 ORACLE = {
