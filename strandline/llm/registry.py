@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, minhash, packing, secrets, toxicity
+from strandline.llm import decontaminate, katz, minhash, packing, secrets, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.query,
+    "op3_katz_scores": katz.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
     "op9_toxicity": toxicity.query,
