@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, katz, minhash, packing, secrets, suffixes, toxicity
+from strandline.llm import decontaminate, katz, minhash, packing, secrets, suffixes, toxicity, training_order
 
 QUERIES = {
     "op2_secret_scan": secrets.query,
     "op3_katz_scores": katz.query,
     "op4_minhash_near_dedup": minhash.query,
     "op5_decontamination": decontaminate.query,
+    "op6_training_order": training_order.query,
     "op8_repeated_passages": suffixes.query,
     "op9_toxicity": toxicity.query,
     "op10_best_fit_packing": packing.query,
