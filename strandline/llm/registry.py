@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontaminate, katz, minhash, packing, secrets, suffixes, toxicity, training_order
+from strandline.llm import decontaminate, katz, minhash, packing, secrets, suffixes, toxicity, training_order, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_secret_scan": secrets.query,
     "op3_katz_scores": katz.query,
     "op4_minhash_near_dedup": minhash.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc": warc.ORACLE,
     "op2_secret_scan": secrets.oracle(),
 }
