@@ -18,6 +18,8 @@ from strandline.llm import core
 
 #: Words of a passage at least, and words that a retained suffix is first compared by.
 MIN_WORDS, KEY_WORDS = 50, 8
+#: Suffixes of one key that one task compares; those of a more frequent key are compared by an aggregation, whose partial sums leave no hot key.
+HOT = 100_000
 
 
 def minimisers(h: np.ndarray, row: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +50,7 @@ def fingerprints(h: np.ndarray, length: int) -> np.ndarray:
     return core.mix(out)
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, least_doc_id): the maximal runs of words covered by windows of min_words words that another document has too.
 
     Words are runs of letters and digits; ASCII case and punctuation are ignored. end_word is exclusive. least_doc_id is the least
@@ -56,7 +58,8 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
     don't count, nor do rows that repeat a doc_id with the same text. Null and shorter texts and null ids have no runs. Other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several buckets a partition, so that partitions are of like size.
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = core.ids_only(docs, "doc_id", "text").where("doc_id is not null")
 
     def retain(batches):
@@ -70,30 +73,33 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
                 yield pa.RecordBatch.from_arrays([pa.array(core.signed(g[at])), batch["doc_id"].slice(lo, hi - lo).take(pa.array(r)), pa.array((at - begin[r]).astype(np.int32))], ["key", "doc_id", "at"])
 
     by = Window.partitionBy("key")
-    shared = (
+    shared = core.written(
         texts.mapInArrow(retain, "key long, doc_id long, at int")
-        .withColumns({"a": F.min("doc_id").over(by), "b": F.max("doc_id").over(by)})
+        .withColumns({"a": F.min("doc_id").over(by), "b": F.max("doc_id").over(by), "n": F.count("*").over(by)})
         .where("a < b")
         .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.collect_set("at").alias("places"))
+        .agg(F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("n") > hot, F.col("at"))).alias("hot_places"))
     )
 
     def extend(batches):
         for batch in batches:
             ids = batch["doc_id"]
-            places = batch["places"]
             for lo, hi, data, offs in core.chunks(batch["text"]):
                 h, _, _, row = core.words(data, offs)
                 window, at, g = minimisers(h, row, min_words, key_words)
                 if not len(window):
                     continue
                 begin = np.searchsorted(row, np.arange(hi - lo))
-                some = places.slice(lo, hi - lo)
-                size = np.diff(some.offsets.to_numpy())
-                wanted = np.repeat(begin, size) + some.flatten().to_numpy()
-                hit = np.zeros(len(h) + 1, bool)
-                hit[wanted[wanted < len(h)]] = True
-                ok = hit[at]
+
+                def at_places(column):
+                    some = batch[column].slice(lo, hi - lo)
+                    out = np.zeros(len(h) + 1, bool)
+                    wanted = np.repeat(begin, np.diff(some.offsets.to_numpy())) + some.flatten().to_numpy()
+                    out[wanted[wanted < len(h)]] = True
+                    return out
+
+                ok = at_places("places")[at]
+                frequent = at_places("hot_places")
                 window, at = window[ok], at[ok]
                 if not len(window):
                     continue
@@ -102,7 +108,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
                 r = row[window[head]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array((g[at[head]] % np.uint64(buckets)).astype(np.int32)),
+                        pa.array(np.where(frequent[at[head]], -1, (g[at[head]] % np.uint64(buckets)).astype(np.int32))),
                         ids.slice(lo, hi - lo).take(pa.array(r)),
                         pa.array((window[head] - begin[r]).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.append(head, len(window)).astype(np.int32)), pa.array(core.signed(prints))),
@@ -142,8 +148,16 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
             }
         )
 
-    found = texts.join(shared, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places").mapInArrow(extend, "bucket int, doc_id long, first int, prints array<long>")
-    runs = found.groupBy("bucket").applyInArrow(compare, "doc_id long, start_word int, end_word int, least_doc_id long")
+    found = texts.join(shared, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places", "hot_places").mapInArrow(extend, "bucket int, doc_id long, first int, prints array<long>")
+    schema = "doc_id long, start_word int, end_word int, least_doc_id long"
+    if shared.where(F.size("hot_places") > 0).isEmpty():
+        runs = found.groupBy("bucket").applyInArrow(compare, schema)
+    else:
+        found = core.written(found)
+        each = found.where("bucket < 0").select("doc_id", "first", F.posexplode("prints").alias("i", "print"))
+        both = each.groupBy("print").agg(F.min("doc_id").alias("least_doc_id"), F.max("doc_id").alias("most")).where("least_doc_id < most").drop("most")
+        frequent = each.join(both, "print").select("doc_id", (F.col("first") + F.col("i")).alias("start_word"), (F.col("first") + F.col("i") + min_words).alias("end_word"), "least_doc_id")
+        runs = found.where("bucket >= 0").groupBy("bucket").applyInArrow(compare, schema).unionByName(frequent)
     so_far = Window.partitionBy("doc_id").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
     up_to = Window.partitionBy("doc_id").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, 0)
     return (

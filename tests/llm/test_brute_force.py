@@ -218,6 +218,9 @@ def test_passages_against_all_windows(docs, texts):
                     run = (s, s + 50, min(o))
         want |= {(i, *run)} if run else set()
     assert {tuple(r) for r in suffixes.repeated(docs).collect()} == want and want
+    # With frequent keys compared the other way, and with none.
+    assert {tuple(r) for r in suffixes.repeated(docs, hot=2).collect()} == want
+    assert {tuple(r) for r in suffixes.repeated(docs, hot=0).collect()} == want
 
 
 def test_katz(docs, texts):
