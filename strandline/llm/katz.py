@@ -149,7 +149,8 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
     Null and empty texts have no row; repeated rows have one each. Other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = min(1 << 14, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Several buckets a partition, so that partitions are of like size.
+    buckets = min(1 << 14, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def post(batches):
         coder, task, number = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
