@@ -33,6 +33,11 @@ def inclusion_probability(similarity: float, n: int, threshold: float) -> float:
     return 1 - (1 - similarity**r) ** b
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once and not once for each of its uses inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def base_hash(feature: Column) -> Column:
     """The first 32 bits of the MD5."""
     return F.conv(F.substring(F.md5(feature), 1, 8), 16, 10).cast("long")
@@ -42,13 +47,14 @@ def signature(features: Column, n: int) -> Column:
     """The least hash of all features for each of n hash functions; null for no features."""
     bases = F.transform(F.array_distinct(features), base_hash)
     pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(n)])
-    return F.when(F.size(features) > 0, F.transform(pairs, lambda c: F.array_min(F.transform(bases, lambda x: (c["a"] * x + c["b"]) % PRIME))))
+    return F.when(F.size(features) > 0, let(bases, lambda known: F.transform(pairs, lambda c: F.array_min(F.transform(known, lambda x: (c["a"] * x + c["b"]) % PRIME)))))
 
 
 def buckets(sig: Column, n: int, threshold: float) -> Column:
     """A name for each band: its number and the MD5 of its hashes."""
     b, r = bands(n, threshold)
-    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.concat_ws(":", i.cast("string"), F.md5(F.array_join(F.transform(F.slice(sig, i * r + 1, r), lambda x: x.cast("string")), ","))))
+    name = lambda s, i: F.concat_ws(":", i.cast("string"), F.md5(F.array_join(F.transform(F.slice(s, i * r + 1, r), lambda x: x.cast("string")), ",")))
+    return let(sig, lambda s: F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: name(s, i)))
 
 
 def similarity(a: Column, b: Column) -> Column:
