@@ -7,6 +7,7 @@ numpy passes and no Python loop runs per row, word or byte.
 from __future__ import annotations
 
 import atexit
+import ctypes
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from strandline.storage import shared_dir
 #: Bytes of text handled at once in a worker; a longer document is a chunk of its own.
 CHUNK = 4 << 20
 #: Bytes hashed at once inside a chunk; bounds the scratch arrays however long a document is.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -56,6 +57,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tidy(run):
+    """run, a function of batches, and then the memory that it used given back: idle workers are kept, and an executor's memory is theirs too."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

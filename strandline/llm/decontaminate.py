@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
                 )
 
     schema = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
-    found = [docs.mapInArrow(functools.partial(search, items), schema) for items in passes(benchmark, pass_bytes)]
+    found = [docs.mapInArrow(core.tidy(functools.partial(search, items)), schema) for items in passes(benchmark, pass_bytes)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -195,7 +195,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS
             yield batch.filter(pa.array(keep))
 
     for items in passes(benchmark, pass_bytes):
-        docs = docs.mapInArrow(functools.partial(sift, items), docs.schema)
+        docs = docs.mapInArrow(core.tidy(functools.partial(sift, items)), docs.schema)
     return docs
 
 

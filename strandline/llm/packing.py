@@ -96,7 +96,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokeni
         columns = [table["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(piece, pa.int32()), table["pack"].combine_chunks().take(pa.array(doc)), pa.array(bin_of), pa.array(start), pa.array(tokens, pa.int32())]
         return pa.Table.from_arrays(columns, ["doc_id", "piece", "pack", "bin", "start", "tokens"])
 
-    sized = core.ids_only(docs, "doc_id", "text").mapInArrow(measure, "doc_id long, n long")
+    sized = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(measure), "doc_id long, n long")
     return (
         sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n"), F.lit(packs)).cast("int"))
         .groupBy("pack")

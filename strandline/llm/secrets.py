@@ -71,7 +71,7 @@ def findings(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
                     out.append((ids[r].as_py(), names[rule], count[rule], hashlib.md5(text[a:b]).hexdigest(), b - a))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()))], ["doc_id", "rule", "nth", "secret_md5", "n_chars"])
 
-    return core.ids_only(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, rule string, nth int, secret_md5 string, n_chars int")
+    return core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(scan), "doc_id long, rule string, nth int, secret_md5 string, n_chars int")
 
 
 def redacted(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
@@ -104,7 +104,7 @@ def redacted(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
                         batch = batch.set_column(i, batch.schema.field(i), pa.array(values, batch.schema.field(i).type))
             yield batch
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(core.tidy(scan), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

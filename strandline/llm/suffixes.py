@@ -74,7 +74,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
 
     by = Window.partitionBy("key")
     shared = core.written(
-        texts.mapInArrow(retain, "key long, doc_id long, at int")
+        texts.mapInArrow(core.tidy(retain), "key long, doc_id long, at int")
         .withColumns({"a": F.min("doc_id").over(by), "b": F.max("doc_id").over(by), "n": F.count("*").over(by)})
         .where("a < b")
         .groupBy(F.col("doc_id").alias("id"))
@@ -148,7 +148,7 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
             }
         )
 
-    found = texts.join(shared, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places", "hot_places").mapInArrow(extend, "bucket int, doc_id long, first int, prints array<long>")
+    found = texts.join(shared, F.col("doc_id") == F.col("id")).select("doc_id", "text", "places", "hot_places").mapInArrow(core.tidy(extend), "bucket int, doc_id long, first int, prints array<long>")
     schema = "doc_id long, start_word int, end_word int, least_doc_id long"
     if shared.where(F.size("hot_places") > 0).isEmpty():
         runs = found.groupBy("bucket").applyInArrow(compare, schema)

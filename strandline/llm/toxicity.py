@@ -118,7 +118,8 @@ def _uses(batches):
     """(word, setting, toxic) once for each word and document; the setting is the words on both sides."""
     for batch in batches:
         toxic = np.asarray(batch["toxic"].to_numpy(zero_copy_only=False) > 0)
-        for lo, hi, data, offs in core.chunks(pc.utf8_lower(batch["text"])):
+        for lo, hi, _, _ in core.chunks(batch["text"]):
+            data, offs = core.text_bytes(pc.utf8_lower(batch["text"].slice(lo, hi - lo)))
             h, _, _, row = core.words(data, offs, lower=False)
             if not len(h):
                 continue
@@ -134,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
 
     No labels, or no toxic ones, give no words. What comes to the driver is at most MOST_LEARNED words, the strongest.
     """
-    uses = labelled(docs, labels, sample).select("text", "toxic").mapInArrow(_uses, "word long, setting long, toxic boolean").distinct()
+    uses = labelled(docs, labels, sample).select("text", "toxic").mapInArrow(core.tidy(_uses), "word long, setting long, toxic boolean").distinct()
     counts = uses.groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).where("a >= 4")
     total = labelled(docs.select("doc_id", F.lit("").alias("text")), labels, sample).agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not total[0]:
@@ -150,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int,
 def scores(col: pa.Array, keys: np.ndarray, kinds: np.ndarray, machine: Transducer) -> tuple[np.ndarray, dict[int, list[tuple[float, str]]]]:
     """Each row's score, and the scored clauses of those above 0."""
     total, found = np.zeros(len(col)), {}
-    for lo, _, data, offs in core.chunks(pc.utf8_lower(col.cast(pa.large_string()))):
+    for lo, hi, _, _ in core.chunks(col):
+        data, offs = core.text_bytes(pc.utf8_lower(col.slice(lo, hi - lo)))
         h, start, end, row = core.words(data, offs, lower=False)
         if not len(h):
             continue
@@ -193,7 +195,7 @@ def rejected(docs: DataFrame, labels: DataFrame | None = None, threshold: float
                 ["doc_id", "toxicity", "clauses", "worst_clause"],
             )
 
-    return core.ids_only(docs, "doc_id", "text").mapInArrow(judge, "doc_id long, toxicity double, clauses int, worst_clause string")
+    return core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(judge), "doc_id long, toxicity double, clauses int, worst_clause string")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -206,7 +208,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame | None = None, threshold: floa
             total, _ = scores(batch.column("text"), keys, kinds, machine)
             yield batch.filter(pa.array(total < threshold))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(core.tidy(judge), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def streams(docs: DataFrame, tokenizer: str):
                 n += int(each.sum() + np.count_nonzero(each))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
-    return docs.mapInArrow(count, "part int, n long")
+    return docs.mapInArrow(core.tidy(count), "part int, n long")
 
 
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, tokenizer: str = bpe.PATH) -> DataFrame:
@@ -134,11 +134,11 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
     shards = max(1, -(-total // shard))
     ranges = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     in_order = (
-        texts.mapInArrow(cut, "slot long, tokens binary")
+        texts.mapInArrow(core.tidy(cut), "slot long, tokens binary")
         .repartitionById(ranges, (F.floor(F.col("slot") / shard) * ranges / shards).cast("int"))
         .sortWithinPartitions("slot")
     )
-    return core.written(in_order.mapInArrow(write, "shard long, first_slot long, sequences int, crc long"))
+    return core.written(in_order.mapInArrow(core.tidy(write), "shard long, first_slot long, sequences int, crc long"))
 
 
 def read_from(folder: str, shard: int, slot: int, length: int = LENGTH, size: int = SHARD):
@@ -166,7 +166,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, from_slot
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["slot", "shard", "byte_offset", "crc", "first_token"])
 
     wanted = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).select("shard", "first_slot")
-    return wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(load, "slot long, shard long, byte_offset long, crc long, first_token int")
+    return wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(core.tidy(load), "slot long, shard long, byte_offset long, crc long, first_token int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def packets_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch["id"][i], len(found)), *(pa.array(x, t) for x, t in zip(zip(*found), TYPES))], ["id", *NAMES])
 
     kind = data.schema["id"].dataType.simpleString()
-    return data.mapInArrow(load, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return data.mapInArrow(core.tidy(load), f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def conversation_streams(conversations: DataFrame) -> DataFrame:

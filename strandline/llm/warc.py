@@ -137,7 +137,7 @@ def read_records(paths: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
 
     spread = paths.where("path is not null").select("path").repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
-    return spread.mapInArrow(load, SCHEMA)
+    return spread.mapInArrow(core.tidy(load), SCHEMA)
 
 
 def write_pages(pages: DataFrame, folder: str) -> DataFrame:
@@ -159,7 +159,7 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
                     count += 1
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], ["path", "records"])
 
-    return core.written(rows.mapInArrow(write, "path string, records long"))
+    return core.written(rows.mapInArrow(core.tidy(write), "path string, records long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
