@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.time import from_micros, interval_micros, micros
+from strandline.storage import ship
 
 WINDOW, SLIDE = "12 hours", "30 minutes"
 
@@ -83,6 +84,7 @@ def anchored(events: DataFrame, window: str = WINDOW, slide: str = SLIDE, count_
         each = [anchors(x, size, step) for x in np.split(t, head[1:])]
         return table.append_column("anchor", pa.array(np.concatenate(each), pa.int64()))
 
+    ship(events.sparkSession)
     share = F.pmod(F.xxhash64("post_id"), F.lit(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))).cast("int")
     own = events.where("post_id is not null and ts is not null").select(share.alias("share"), "post_id", "person_id", "event_type", micros(F.col("ts")).alias("t"))
     known = own.groupBy("share").applyInArrow(assign, "share int, post_id long, person_id long, event_type string, t long, anchor long")

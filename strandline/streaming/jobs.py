@@ -9,7 +9,7 @@ from strandline.functions import control
 from strandline.functions.time import from_micros, interval_micros, micros
 from strandline.operators import activity, recommend, replies, statistics
 from strandline.sources.keyed import KeyedTable
-from strandline.storage import shared_dir
+from strandline.storage import shared_dir, ship
 from strandline.streaming.processors import AdaptiveWindow, AsOfFrequency, PostStatistics, StreamingClusters
 
 
@@ -18,6 +18,7 @@ def post_statistics(events: DataFrame, window: str = "12 hours", slide: str = "3
 
 
 def post_statistics_anchored(events: DataFrame, window: str = "12 hours", slide: str = "30 minutes") -> DataFrame:
+    ship(events.sparkSession)
     keyed = events.select("post_id", "event_type", "person_id", "ts", micros(F.col("ts")).alias("t"))
     out = keyed.groupBy("post_id").transformWithStateInPandas(PostStatistics(interval_micros(window), interval_micros(slide)), PostStatistics.OUTPUT, "Append", "EventTime")
     return out.select("post_id", from_micros(F.col("window_us")).alias("window_end"), "comment_count", "reply_count", "like_count", "distinct_users", "new_post")
@@ -33,6 +34,7 @@ def person_frequency(events: DataFrame, window: str = "12 hours", slide: str = "
 
 def with_frequency(rows: DataFrame, limit: str = "6 hours") -> DataFrame:
     """rows: (person_id, event_id, t, is_count, n), events and counts in one stream, t in microseconds."""
+    ship(rows.sparkSession)
     return rows.groupBy("person_id").transformWithStateInPandas(AsOfFrequency(interval_micros(limit)), AsOfFrequency.OUTPUT, "Append", "None")
 
 
