@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.storage import shared_dir
+from strandline.storage import shared_dir, ship
 
 #: Bytes of text handled at once in a worker; a longer document is a chunk of its own.
 CHUNK = 4 << 20
@@ -54,6 +54,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -175,4 +176,5 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 def ids_only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator needs, under fixed names, so that no other column can clash."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

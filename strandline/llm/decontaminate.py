@@ -186,6 +186,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs without the rows that contaminated() lists, all columns as they are; no shuffle."""
+    core.ship(docs.sparkSession)
 
     def sift(items, batches):
         for batch in batches:

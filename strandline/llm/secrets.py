@@ -80,6 +80,7 @@ def redacted(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     All rows and columns stay; n_chars, if there is such a column, counts the new text's characters where it changed. Null and
     empty texts stay as they are.
     """
+    core.ship(docs.sparkSession)
     automaton = Automaton(list(rules.values()))
     schema = docs.schema
 

@@ -200,6 +200,7 @@ def rejected(docs: DataFrame, labels: DataFrame | None = None, threshold: float
 
 def keep_clean(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that rejected() would list, all columns as they are; one pass without a shuffle."""
+    core.ship(docs.sparkSession)
     keys, kinds = _lexicon_for(docs, labels, sample)
 
     def judge(batches):

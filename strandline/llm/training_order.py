@@ -165,6 +165,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, from_slot
                 out = [(slot, s, HEADER_SIZE + (slot - first) * 2 * length, zlib.crc32(t.tobytes()), int(t[0])) for slot, t in read_from(folder, s, max(first, from_slot), length, shard)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["slot", "shard", "byte_offset", "crc", "first_token"])
 
+    core.ship(spark)
     wanted = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).select("shard", "first_slot")
     return wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(core.tidy(load), "slot long, shard long, byte_offset long, crc long, first_token int")
 

@@ -215,6 +215,7 @@ def packets_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     Null and empty streams, and bytes without sync or tables, have none; repeated rows are each read. Other columns are not read.
     """
+    core.ship(media.sparkSession)
     data = media.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{media_col}`").cast("binary").alias("media"))
 
     def load(batches):
@@ -230,6 +231,7 @@ def packets_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 def conversation_streams(conversations: DataFrame) -> DataFrame:
     """(conv_id, media): each conversation as a stream with a track for each role, an elementary packet a turn, one second a turn; even turns are access points."""
+    core.ship(conversations.sparkSession)
     turns = conversations.select("conv_id", "turn", "role", F.col("text").cast("binary").alias("text")).where("conv_id is not null and turn is not null")
 
     def build(table: pa.Table) -> pa.Table:

@@ -136,6 +136,7 @@ def read_records(paths: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
 
+    core.ship(paths.sparkSession)
     spread = paths.where("path is not null").select("path").repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
     return spread.mapInArrow(core.tidy(load), SCHEMA)
 
@@ -146,6 +147,7 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
     A file has a name of its own for each attempt at a task, and only those of successful ones are in the table. A null html is a record
     of no bytes, marked as such; a null url has no URI line. Repeated rows are written each; other columns are not read.
     """
+    core.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     def write(batches):
