@@ -23,6 +23,8 @@ from strandline.llm import bpe, core
 CUTOFF = 5
 #: Pairs in one part of the stored table, about.
 PART = 4_000_000
+#: Buckets of the model at most in scoring.
+BUCKETS = 64
 _ROW_BITS, _WORD_BITS = 16, 17
 _MIX = 1_000_003
 
@@ -95,7 +97,7 @@ def train(docs: DataFrame, tokenizer: str = bpe.PATH, cutoff: int = CUTOFF) -> M
                 n = np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((c >> _WORD_BITS).astype(np.int32)), pa.array((c & (1 << _WORD_BITS) - 1).astype(np.int32)), pa.array(n)], ["ctx", "word", "n"])
 
-    counted = core.ids_only(docs, "doc_id", "text").select("text").mapInArrow(count, "ctx int, word int, n long")
+    counted = core.ids_only(docs, "doc_id", "text").select("text").mapInArrow(core.tidy(count), "ctx int, word int, n long")
     pairs = core.written(counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")))
     size = bpe.load(tokenizer).end + 1
     factor = discounts({r.n: r["count"] for r in pairs.where(F.col("n") <= cutoff + 1).groupBy("n").count().collect()}, cutoff)
@@ -149,8 +151,10 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
     Null and empty texts have no row; repeated rows have one each. Other columns are not read.
     """
     spark = docs.sparkSession
-    # Several buckets a partition, so that partitions are of like size.
-    buckets = min(1 << 14, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The model is cut into few buckets, as a document has a sum from each; beyond those the chunks are dealt to groups, each with a copy of the bucket.
+    buckets = min(BUCKETS, partitions)
+    groups = -(-partitions // buckets)
 
     def post(batches):
         coder, task, number = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
@@ -185,8 +189,8 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
                     counts, rows = [[]] * len(used), [[]] * len(used)
                     counts[which], rows[which] = tokens.tolist(), some.tolist()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(used, pa.int32()), pa.array([task << 32 | number] * len(used), pa.int64()), pa.array(out, pa.binary()), pa.array(names, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.int32()))],
-                        ["bucket", "chunk", "blob", "ids", "tokens", "rows"],
+                        [pa.array(used * groups + (task * 7919 + number) % groups, pa.int32()), pa.array([task << 32 | number] * len(used), pa.int64()), pa.array(out, pa.binary()), pa.array(names, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.int32()))],
+                        ["cell", "chunk", "blob", "ids", "tokens", "rows"],
                     )
                     number += 1
 
@@ -218,9 +222,10 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
         total = np.bincount(at, sums.astype(np.float64))[rows]
         return pa.table({"doc_id": flat("ids"), "tokens": tokens, "logprob": total, "perplexity": np.exp(-total / tokens)})
 
-    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(post, "bucket int, chunk long, blob binary, ids array<long>, tokens array<int>, rows array<int>")
+    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(post), "cell int, chunk long, blob binary, ids array<long>, tokens array<int>, rows array<int>")
     pairs = model.pairs.select("ctx", "word", "logp", F.pmod(F.col("ctx").cast("long") * _MIX + F.col("word"), F.lit(buckets)).cast("int").alias("bucket"))
-    looked = posts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(look_up, "chunk long, at array<int>, sums array<float>, ids array<long>, tokens array<int>, rows array<int>")
+    pairs = pairs.select("ctx", "word", "logp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (F.col("bucket") * groups + g).cast("int"))).alias("cell"))
+    looked = posts.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(look_up, "chunk long, at array<int>, sums array<float>, ids array<long>, tokens array<int>, rows array<int>")
     return looked.groupBy("chunk").applyInArrow(gather, "doc_id long, tokens int, logprob double, perplexity double")
 
 

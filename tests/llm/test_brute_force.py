@@ -223,7 +223,9 @@ def test_passages_against_all_windows(docs, texts):
     assert {tuple(r) for r in suffixes.repeated(docs, hot=0).collect()} == want
 
 
-def test_katz(docs, texts):
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_katz(docs, texts, monkeypatch, buckets):
+    monkeypatch.setattr(katz, "BUCKETS", buckets)
     model = katz.train(docs.where("doc_id % 2 = 0"))
     coder = bpe.load()
     logp = {(r.ctx, r.word): r.logp for r in model.pairs.collect()}
