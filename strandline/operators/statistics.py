@@ -40,15 +40,17 @@ def by_panes(events: DataFrame, window: str = WINDOW, slide: str = SLIDE, count_
     size, step = interval_micros(window), interval_micros(slide)
     if size % step:
         raise ValueError("the window must be a multiple of the slide")
-    panes = events.groupBy("post_id", F.floor(micros(F.col("ts")) / step).alias("pane")).agg(*_counts(F.collect_set(_user(count_author)).alias("users")))
-    return (
+    sums = ["comment_count", "reply_count", "like_count"]
+    panes = events.groupBy("post_id", F.floor(micros(F.col("ts")) / step).alias("pane"), _user(count_author).alias("user")).agg(*_counts(F.lit(0).alias("none"))).drop("none")
+    # Sums by person first: all states are numbers, so that both aggregations stay in generated code and no set is built.
+    persons = (
         panes.withColumn("end", F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + size // step)))
-        .groupBy("post_id", "end")
-        .agg(
-            *[F.sum(c).alias(c) for c in ("comment_count", "reply_count", "like_count")],
-            F.size(F.array_distinct(F.flatten(F.collect_list("users")))).cast("long").alias("distinct_users"),
-            F.max("new_post").alias("new_post"),
-        )
+        .groupBy("post_id", "end", "user")
+        .agg(*[F.sum(c).alias(c) for c in sums], F.max("new_post").alias("new_post"))
+    )
+    return (
+        persons.groupBy("post_id", "end")
+        .agg(*[F.sum(c).alias(c) for c in sums], F.count("user").alias("distinct_users"), F.max("new_post").alias("new_post"))
         .select("post_id", from_micros(F.col("end") * step).alias("window_end"), "comment_count", "reply_count", "like_count", "distinct_users", "new_post")
     )
 
