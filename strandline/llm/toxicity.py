@@ -5,18 +5,19 @@ weigh the classes of a clause: negation cancels what follows closely, reported s
 self + threat verb + target is a threat. They are composed into one machine, which scores a clause in one pass. A
 clause without an insult or a threat verb scores 0 by construction, so the machine runs on the other clauses only.
 
-The classes hold a small built-in lexicon of four languages, and insults learned from labelled documents.
+The classes hold a small built-in lexicon of four languages, and insults learned from labelled documents: words and stems of words,
+weighed by their log-odds. A document's score is held against its length; how, is chosen on labelled documents by words learned from others.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from itertools import product, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import core
@@ -40,8 +41,17 @@ LEXICON = {
 WEIGHTS = {INSULT: 1.0, MILD: 0.5, AIMED: 1.5, REPORTED: 0.3, MENACE: 2.0}
 #: Words after a negation that it reaches.
 SCOPE = 2
-#: A document's score from which on it is rejected.
-THRESHOLD = 1.0
+#: The score from which on a document of at most SPAN words is rejected; a longer one needs as much again for every SPAN words.
+THRESHOLD, SPAN = 1.0, 200
+#: What labelled documents choose from: factors of the threshold, and spans.
+FACTORS, SPANS = (1.0, 1.5, 2.0, 3.0, 4.0), (50, 100, 150, 200, 300, 500)
+#: Largest share of the clean documents of one language or length that the choice may lose; clean documents that a share is taken of, at least.
+MOST_LOST, LEAST_CELL = 0.01, 20
+#: Words from which on a document is of the next length.
+LENGTHS = (200, 500, 1500)
+#: Bytes of a stem, which longer words have; log-odds from which on a learned word weighs as much as a built-in one.
+STEM, FULL = 6, 4.0
+_STEM = np.uint64(0xA24BAED4963EE407)
 #: Labelled documents that the insults are learned from, at most.
 SAMPLE = 12_000
 #: Of a learned insult: least likelihood ratio (G squared) and least share of toxic uses; most words learned.
@@ -81,11 +91,11 @@ def grammar() -> Transducer:
     return target.after(threat.after(reported.after(negation)))
 
 
-def clause_score(machine: Transducer, classes) -> float:
-    """The weight that the machine gives a clause."""
+def clause_score(machine: Transducer, classes, parts=None) -> float:
+    """The weight that the machine gives a clause; parts are the shares of the words' weights, 1 without them."""
     s, total = 0, 0.0
-    for c in classes:
-        total += WEIGHTS.get(machine.out[s][c], 0.0)
+    for c, part in zip(classes, parts or repeat(1.0)):
+        total += WEIGHTS.get(machine.out[s][c], 0.0) * part
         s = machine.next[s][c]
     return total
 
@@ -102,8 +112,37 @@ def lexicon(learned: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarr
     return keys, np.array([found[int(k)] for k in keys], np.int8)
 
 
+def stems(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes): the words longer than a stem, and their stems' hashes, which differ from those of words."""
+    long = np.flatnonzero(end - start > STEM)
+    return long, core.mix(core.span_hash(data, start[long], start[long] + STEM) ^ _STEM)
+
+
+@dataclass(frozen=True)
+class Judge:
+    """A lexicon with the share of its class's weight that each word has, and the score that a document is rejected from."""
+
+    keys: np.ndarray
+    kinds: np.ndarray
+    parts: np.ndarray
+    threshold: float
+    span: float
+
+    @classmethod
+    def of(cls, learned: dict[int, tuple[int, float]], threshold: float = THRESHOLD, span: float = SPAN) -> "Judge":
+        keys, kinds = lexicon({h: c for h, (c, _) in learned.items()})
+        ours = set(lexicon()[0].tolist())
+        return cls(keys, kinds, np.array([learned[k][1] if k not in ours else 1.0 for k in keys.tolist()]), threshold, span)
+
+    def rejects(self, total: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return total >= self.threshold * np.maximum(1.0, length / self.span)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of the sample labelled documents of the least hashes. A document with several labels is toxic if one says so; a null label is none."""
+    """(doc_id, text, lang, toxic) of the sample labelled documents of the least hashes; lang is null if docs have none.
+
+    A document with several labels is toxic if one says so; a null label is none.
+    """
     few = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -111,53 +150,129 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    return core.ids_only(docs, "doc_id", "text").join(F.broadcast(few), "doc_id")
+    core.ship(docs.sparkSession)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).join(F.broadcast(few), "doc_id")
+
+
+def halves(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The half, 0 or 1, of each row by its least hashed three words, so that copies and most near copies are in one half."""
+    g, least = np.full(len(h), np.iinfo(np.uint64).max), np.full(rows, np.iinfo(np.uint64).max)
+    if len(h) > 2:
+        g[:-2] = np.where(row[:-2] == row[2:], core.grams(h, 3), g[:-2])
+    np.minimum.at(least, row, g)
+    lone = least[row] == np.iinfo(np.uint64).max
+    np.minimum.at(least, row[lone], h[lone])
+    return (core.mix(least) & np.uint64(1)).astype(np.int8)
 
 
 def _uses(batches):
-    """(word, setting, toxic) once for each word and document; the setting is the words on both sides."""
+    """(word, setting, toxic, half) once for each word or stem and document; the setting is the words on both sides."""
     for batch in batches:
         toxic = np.asarray(batch["toxic"].to_numpy(zero_copy_only=False) > 0)
         for lo, hi, _, _ in core.chunks(batch["text"]):
             data, offs = core.text_bytes(pc.utf8_lower(batch["text"].slice(lo, hi - lo)))
-            h, _, _, row = core.words(data, offs, lower=False)
+            h, start, end, row = core.words(data, offs, lower=False)
             if not len(h):
                 continue
             before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
             after = np.concatenate([h[1:], np.zeros(1, np.uint64)])
-            setting = core.mix(before * np.uint64(3) + after)
-            _, first = np.unique(h ^ core.mix(row.astype(np.uint64)), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(core.signed(h[first])), pa.array(core.signed(setting[first])), pa.array(toxic[lo:hi][row[first]])], ["word", "setting", "toxic"])
+            setting, half = core.mix(before * np.uint64(3) + after), halves(h, row, hi - lo)
+            long, stem = stems(data, start, end)
+            for word, place in ((h, np.arange(len(h))), (stem, long)):
+                _, first = np.unique(word ^ core.mix(row[place].astype(np.uint64)), return_index=True)
+                at = place[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core.signed(word[first])), pa.array(core.signed(setting[at])), pa.array(toxic[lo:hi][row[at]]), pa.array(half[row[at]])], ["word", "setting", "toxic", "half"]
+                )
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, int]:
-    """Insults of labelled documents: word hashes with INSULT or MILD. A use counts once for each setting, so that copies of a document are one use.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[dict[int, tuple[int, float]]]:
+    """Insults of the labelled documents of the first half, of the second and of all: hashes of words and stems with INSULT or MILD and the
+    share of its weight, which grows with the log-odds. A use counts once for each setting, so that copies of a document are one use.
 
-    No labels, or no toxic ones, give no words. What comes to the driver is at most MOST_LEARNED words, the strongest.
+    No labels, or no toxic ones, give no words. What comes to the driver is at most 3 * MOST_LEARNED words, the strongest.
     """
-    uses = labelled(docs, labels, sample).select("text", "toxic").mapInArrow(core.tidy(_uses), "word long, setting long, toxic boolean").distinct()
-    counts = uses.groupBy("word").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b")).where("a >= 4")
+    found: list[dict[int, tuple[int, float]]] = [{}, {}, {}]
+    uses = labelled(docs, labels, sample).select("text", "toxic").mapInArrow(core.tidy(_uses), "word long, setting long, toxic boolean, half byte").distinct()
+    counts = uses.groupBy("word").agg(*(F.count_if((F.col("toxic") == (n == "a")) & (F.col("half") == k)).alias(f"{n}{k}") for n in "ab" for k in (0, 1))).where("a0 + a1 >= 4")
     total = labelled(docs.select("doc_id", F.lit("").alias("text")), labels, sample).agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     if not total[0]:
-        return {}
+        return found
     nt, nn = float(total[0]), float(max(1, total[1]))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    parts = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(a).cast("double").alias("a"), F.expr(b).cast("double").alias("b"), F.lit(n).alias("n")) for k, a, b, n in ((0, "a0", "b0", 0.5), (1, "a1", "b1", 0.5), (2, "a0 + a1", "b0 + b1", 1.0))))
+    each = counts.select("word", F.explode(parts).alias("x")).select("word", "x.*").where("a >= 4")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
     rate = F.lit(nt / (nt + nn))
     g2 = 2 * (a * F.log(a / ((a + b) * rate)) + F.when(b > 0, b * F.log(b / ((a + b) * (1 - rate)))).otherwise(0.0))
-    strong = counts.withColumn("share", a / (a + b)).withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (F.col("share") >= LEAST_SHARE))
-    return {int(np.int64(r.word).view(np.uint64)): INSULT if r.share >= 0.9 else MILD for r in strong.orderBy(F.desc("g2"), "word").limit(MOST_LEARNED).collect()}
+    odds = F.log((a + 0.5) / (n * nt + 1)) - F.log((b + 0.5) / (n * nn + 1))
+    strong = each.withColumn("share", a / (a + b)).withColumn("g2", g2).withColumn("part", F.least(F.lit(1.0), odds / FULL)).where((F.col("g2") >= LEAST_G2) & (F.col("share") >= LEAST_SHARE) & (F.col("part") > 0))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("g2"), "word"))
+    for r in strong.withColumn("nth", nth).where(F.col("nth") <= MOST_LEARNED).collect():
+        found[r.k][int(np.int64(r.word).view(np.uint64))] = (INSULT if r.share >= 0.9 else MILD, r.part)
+    return found
 
 
-def scores(col: pa.Array, keys: np.ndarray, kinds: np.ndarray, machine: Transducer) -> tuple[np.ndarray, dict[int, list[tuple[float, str]]]]:
-    """Each row's score, and the scored clauses of those above 0."""
-    total, found = np.zeros(len(col)), {}
+def held_out(docs: DataFrame, labels: DataFrame, first: Judge, second: Judge, sample: int = SAMPLE) -> DataFrame:
+    """(lang, toxic, half, length, score) of the labelled documents, each scored by the words of the half that it isn't in."""
+
+    def run(batches):
+        machine = grammar()
+        for batch in batches:
+            got = [_scores(batch["text"], j, machine) for j in (second, first)]
+            half = got[0][3]
+            yield pa.RecordBatch.from_arrays(
+                [batch["lang"], batch["toxic"], pa.array(half), pa.array(got[0][2]), pa.array(np.where(half == 0, got[0][0], got[1][0]))], ["lang", "toxic", "half", "length", "score"]
+            )
+
+    return labelled(docs, labels, sample).select("text", "lang", F.col("toxic") > 0).toDF("text", "lang", "toxic").mapInArrow(core.tidy(run), "lang string, toxic boolean, half byte, length long, score double")
+
+
+def choose(rows: list, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """(threshold, span) of held-out rows: of those that lose at most MOST_LOST of the clean documents of each language and of each length, the one
+    that finds the most toxic ones; if none does, the one that loses least. Of equals the first of FACTORS and the longest span."""
+    toxic, length, score = (np.array([r[c] for r in rows]) for c in ("toxic", "length", "score"))
+    if not len(rows) or not toxic.any():
+        return threshold, SPAN
+    lang, size = np.array([r["lang"] or "" for r in rows]), np.searchsorted(LENGTHS, length, "right")
+    cells = [c for c in [~toxic & (x == v) for x in (lang, size) for v in np.unique(x)] if c.sum() >= LEAST_CELL] or [~toxic]
+    best = None
+    for factor in FACTORS:
+        for span in sorted(SPANS, reverse=True):
+            hit = score >= threshold * factor * np.maximum(1.0, length / span)
+            lost = max((float(hit[c].mean()) for c in cells if c.any()), default=0.0)
+            rank = (lost <= MOST_LOST, int((hit & toxic).sum()) if lost <= MOST_LOST else -lost)
+            if best is None or rank > best[0]:
+                best = rank, threshold * factor, span
+    return best[1], best[2]
+
+
+def judge_for(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> Judge:
+    """What to judge docs by; without labelled toxic documents the built-in words, threshold and SPAN. At most sample rows of numbers come to the driver."""
+    first, second, every = learn(docs, labels, sample) if labels is not None else ({}, {}, {})
+    if not every:
+        return Judge.of({}, threshold)
+    rows = held_out(docs, labels, Judge.of(first), Judge.of(second), sample).collect()
+    return Judge.of(every, *choose(rows, threshold))
+
+
+def _scores(col: pa.Array, judge: Judge, machine: Transducer):
+    """Each row's score, the scored clauses of those above 0, each row's words, and its half."""
+    total, found, length, half = np.zeros(len(col)), {}, np.zeros(len(col), np.int64), np.zeros(len(col), np.int8)
     for lo, hi, _, _ in core.chunks(col):
         data, offs = core.text_bytes(pc.utf8_lower(col.slice(lo, hi - lo)))
         h, start, end, row = core.words(data, offs, lower=False)
         if not len(h):
             continue
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        kind = np.where(keys[at] == h, kinds[at], OTHER)
+        length[lo:hi] = np.bincount(row, minlength=hi - lo)
+        half[lo:hi] = halves(h, row, hi - lo)
+        kind, part = np.full(len(h), OTHER, np.int8), np.ones(len(h))
+        long, stem = stems(data, start, end)
+        # A word goes before its stem.
+        for word, place in ((stem, long), (h, np.arange(len(h)))):
+            at = np.minimum(np.searchsorted(judge.keys, word), len(judge.keys) - 1)
+            hit = judge.keys[at] == word
+            kind[place[hit]], part[place[hit]] = judge.kinds[at[hit]], judge.parts[at[hit]]
         hot = (kind == INSULT) | (kind == MILD) | (kind == THREAT)
         if not hot.any():
             continue
@@ -165,30 +280,32 @@ def scores(col: pa.Array, keys: np.ndarray, kinds: np.ndarray, machine: Transduc
         clause = np.searchsorted(stops, start, "right")
         for c in np.unique(clause[hot]):
             i, j = np.searchsorted(clause, [c, c + 1])
-            if w := clause_score(machine, kind[i:j].tolist()):
+            if w := clause_score(machine, kind[i:j].tolist(), part[i:j].tolist()):
                 r = lo + int(row[i])
                 total[r] += w
                 found.setdefault(r, []).append((w, data[start[i] : end[j - 1]].tobytes().decode(errors="replace")))
-    return total, found
+    return total, found, length, half
 
 
-def _lexicon_for(docs: DataFrame, labels: DataFrame | None, sample: int):
-    return lexicon(learn(docs, labels, sample) if labels is not None else None)
+def scores(col: pa.Array, keys: np.ndarray, kinds: np.ndarray, machine: Transducer) -> tuple[np.ndarray, dict[int, list[tuple[float, str]]]]:
+    """Each row's score by words of full weight, and the scored clauses of those above 0."""
+    return _scores(col, Judge(keys, kinds, np.ones(len(keys)), THRESHOLD, SPAN), machine)[:2]
 
 
 def rejected(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxicity, clauses, worst_clause) of the documents that score threshold or more.
+    """(doc_id, toxicity, clauses, worst_clause) of the documents that score too much for their length.
 
     A null or empty text scores 0 and is kept; repeated rows are each judged, and ties need no order. clauses counts the
-    scored clauses, worst_clause is the first of the highest weight, in lower case. Other columns are not read.
+    scored clauses, worst_clause is the first of the highest weight, in lower case. Of other columns only lang is read, if there is
+    one, of labelled documents. threshold is what a document of at most SPAN words is rejected from; labels may raise it and change SPAN.
     """
-    keys, kinds = _lexicon_for(docs, labels, sample)
+    by = judge_for(docs, labels, threshold, sample)
 
     def judge(batches):
         machine = grammar()
         for batch in batches:
-            total, found = scores(batch["text"], keys, kinds, machine)
-            hit = np.flatnonzero(total >= threshold)
+            total, found, length, _ = _scores(batch["text"], by, machine)
+            hit = np.flatnonzero(by.rejects(total, length))
             worst = [max(found[int(r)], key=lambda x: x[0])[1] for r in hit]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(hit)), pa.array(np.round(total[hit], 3)), pa.array([len(found[int(r)]) for r in hit], pa.int32()), pa.array(worst, pa.string())],
@@ -201,13 +318,13 @@ def rejected(docs: DataFrame, labels: DataFrame | None = None, threshold: float
 def keep_clean(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that rejected() would list, all columns as they are; one pass without a shuffle."""
     core.ship(docs.sparkSession)
-    keys, kinds = _lexicon_for(docs, labels, sample)
+    by = judge_for(docs, labels, threshold, sample)
 
     def judge(batches):
         machine = grammar()
         for batch in batches:
-            total, _ = scores(batch.column("text"), keys, kinds, machine)
-            yield batch.filter(pa.array(total < threshold))
+            total, _, length, _ = _scores(batch.column("text"), by, machine)
+            yield batch.filter(pa.array(~by.rejects(total, length)))
 
     return docs.mapInArrow(core.tidy(judge), docs.schema)
 
