@@ -27,14 +27,15 @@ OTHER, INSULT, MILD, TARGET, NEGATION, REPORT, SELF, THREAT = range(8)
 AIMED, REPORTED, MENACE = 8, 9, 10
 CLASSES = 11
 
+#: No word holds an apostrophe: i'll is i and ll, and the t of n't is a negation by contracted().
 LEXICON = {
     INSULT: "idiot idiots moron morons scum imbecile cretin worthless pathetic disgusting stupid loser losers trash clown scumbag vermin "
     "idiotin trottel arschloch dummkopf abschaum schwachkopf connard connards salaud salope imbécile crétin abruti ordure "
     "imbécil estúpido estúpida gilipollas cabrón escoria basura",
     TARGET: "you your yours they them their he she him her those these du dich dir ihr euch sie tu te toi vous ils elles usted ustedes ellos ellas ti vosotros",
-    NEGATION: "not never no nor neither without isn't aren't nicht kein keine keinen niemals nie pas jamais aucun aucune sans nunca jamás ni ningún sin",
+    NEGATION: "not never no nor neither without nicht kein keine keinen niemals nie pas jamais aucun aucune sans nunca jamás ni ningún sin",
     REPORT: "said says saying say wrote writes writing called calls quoted quotes quoting claimed claims allegedly reported reportedly sagte sagt schrieb nannte behauptet dit disait écrit appelé dijo dice escribió llamó",
-    SELF: "i we i'll we'll ich wir je nous yo nosotros",
+    SELF: "i we ich wir je nous yo nosotros",
     THREAT: "kill hurt destroy murder shoot stab punish beat crush töten umbringen zerstören verletzen tuer détruire frapper blesser matar destruir golpear",
 }
 #: What a clause's word adds by its class after rewriting.
@@ -107,11 +108,23 @@ def word_hash(word: str) -> int:
 
 def lexicon(learned: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ascending word hashes and their classes; a built-in word keeps its class."""
-    found = dict(learned or {}) | {word_hash(w): c for c, ws in LEXICON.items() for w in ws.split() if w.isalnum()}
+    found = dict(learned or {}) | {word_hash(w): c for c, ws in LEXICON.items() for w in ws.split()}
     keys = np.array(sorted(found), np.uint64)
     return keys, np.array([found[int(k)] for k in keys], np.int8)
 
 
+def lower(col: pa.Array) -> pa.Array:
+    """Texts in lower case, with straight apostrophes."""
+    return pc.replace_substring(pc.utf8_lower(col), "\u2019", "'")
+
+
+def contracted(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places of the t that negates a word before its apostrophe: that of isn't, don't or can't, not that of a quoted t."""
+    at = np.flatnonzero((end - start == 1) & (data[start] == ord("t")) & (start > 1))
+    at = at[(data[start[at] - 1] == ord("'")) & (data[start[at] - 2] == ord("n"))]
+    return at[(start[at - 1] < end[at - 1] - 1) & (end[at - 1] == start[at] - 1)]
+
+
 def stems(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes): the words longer than a stem, and their stems' hashes, which differ from those of words."""
     long = np.flatnonzero(end - start > STEM)
@@ -171,7 +184,7 @@ def _uses(batches):
     for batch in batches:
         toxic = np.asarray(batch["toxic"].to_numpy(zero_copy_only=False) > 0)
         for lo, hi, _, _ in core.chunks(batch["text"]):
-            data, offs = core.text_bytes(pc.utf8_lower(batch["text"].slice(lo, hi - lo)))
+            data, offs = core.text_bytes(lower(batch["text"].slice(lo, hi - lo)))
             h, start, end, row = core.words(data, offs, lower=False)
             if not len(h):
                 continue
@@ -260,7 +273,7 @@ def _scores(col: pa.Array, judge: Judge, machine: Transducer):
     """Each row's score, the scored clauses of those above 0, each row's words, and its half."""
     total, found, length, half = np.zeros(len(col)), {}, np.zeros(len(col), np.int64), np.zeros(len(col), np.int8)
     for lo, hi, _, _ in core.chunks(col):
-        data, offs = core.text_bytes(pc.utf8_lower(col.slice(lo, hi - lo)))
+        data, offs = core.text_bytes(lower(col.slice(lo, hi - lo)))
         h, start, end, row = core.words(data, offs, lower=False)
         if not len(h):
             continue
@@ -273,6 +286,7 @@ def _scores(col: pa.Array, judge: Judge, machine: Transducer):
             at = np.minimum(np.searchsorted(judge.keys, word), len(judge.keys) - 1)
             hit = judge.keys[at] == word
             kind[place[hit]], part[place[hit]] = judge.kinds[at[hit]], judge.parts[at[hit]]
+        kind[contracted(data, start, end)] = NEGATION
         hot = (kind == INSULT) | (kind == MILD) | (kind == THREAT)
         if not hot.any():
             continue

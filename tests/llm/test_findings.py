@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+import pytest
+
 from strandline.llm import toxicity
 
 
@@ -29,3 +32,13 @@ def test_threshold_loses_few_of_each_language_and_length():
     threshold, span = toxicity.choose(rows)
     assert threshold * 3000 / span > 2.0 and threshold <= 3.0
     assert toxicity.choose([]) == (toxicity.THRESHOLD, toxicity.SPAN)
+
+
+@pytest.mark.parametrize("text,score", [
+    ("They aren't idiots", 0.0), ("you isn\u2019t an idiot", 0.0), ("don't, idiot", 0.0), ("I won't kill you", 0.0), ("that wasn't a moron.", 0.0), ("CAN'T be scum", 0.0),
+    ("i'll kill you", 2.0), ("we\u2019ll kill you", 2.0), ("the plan 't idiot", 1.0), ("a 'n't idiot", 1.0), ("isn't it so, you idiot", 1.5), ("can'tankerous idiot", 1.0),
+])
+def test_contracted_negation(text, score):
+    keys, kinds = toxicity.lexicon()
+    total, _ = toxicity.scores(pa.array([text, None, "t", "n't", "'t idiot"]), keys, kinds, toxicity.grammar())
+    assert total.tolist() == pytest.approx([score, 0, 0, 0, 1.0])
