@@ -1,4 +1,5 @@
-"""Secret scans: all rules as one minimal automaton, which passes over the bytes once; then the spans of the rules that ended."""
+"""Secret scans: cheap anchors of all rules as one minimal automaton, which passes over the bytes once; then the spans of the rules whose
+anchor was seen, by their whole expressions."""
 
 from __future__ import annotations
 
@@ -12,8 +13,7 @@ from pyspark.sql import DataFrame
 from strandline.llm import core
 from strandline.llm.automaton import SEPARATOR, Automaton
 
-#: Classes that repeat hold word characters only (but for a web token's): a rule can't begin inside a word, so that few rules are
-#: under way at once and the automaton stays small.
+#: What the SQL finds: classes that repeat hold word characters only (but for a web token's). WHOLE finds all of this and more.
 RULES = {
     "assigned_token": r"""(?i)\b(?:api[_-]?key|secret|(?:access_|auth_)?token)[ \t]*[:=][ \t]*["'][0-9a-z_]{16,}["']""",
     "aws_access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -30,6 +30,27 @@ RULES = {
     "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{24,}\b",
     "url_login": r"\b(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqp)://[0-9A-Za-z_]+:[0-9A-Za-z_]+@",
 }
+#: Rule -> (anchor, expression). The anchor is what any match begins with, without counted classes, so that the automaton stays small; the expression,
+#: over bytes, has the secret's real alphabet. A value in quotes ends at its own quote, on its line; one without at a space or what closes it.
+_NAME, _VALUE = r"(?:api[_-]?key|secret|(?:access_|auth_)?token)", r"(?:password|passwd|pwd)"
+_IS = r"""["']?[ \t]*[:=][ \t]*"""
+_LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?"
+WHOLE = {
+    "assigned_token": (rf"""(?i)\b{_NAME}{_IS}["']""", rf"""(?i)\b{_NAME}{_IS}(?:"[!#-~]{{16,}}"|'[!-&(-~]{{16,}}')"""),
+    "aws_access_key_id": (r"\b(?:AKIA|ASIA)", RULES["aws_access_key_id"]),
+    "bearer_token": (r"(?i)\bbearer ", r"(?i)\bbearer [0-9a-z_.~+/-]{19,}[0-9a-z_~+/-]=*"),
+    "github_token": (r"\b(?:gh[pousr]|github_pat)_", r"\bgh[pousr]_[0-9A-Za-z]{36}\b|\bgithub_pat_[0-9A-Za-z_]{22,}"),
+    "gitlab_token": (r"\bglpat-", r"\bglpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_])"),
+    "google_api_key": (r"\bAIza", r"\bAIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_])"),
+    "json_web_token": (r"\beyJ", RULES["json_web_token"]),
+    "npm_token": (r"\bnpm_", RULES["npm_token"]),
+    "password": (rf"(?i)\b{_VALUE}{_IS}", rf"""(?i)\b{_VALUE}{_IS}(?:"(?:[^"\\\r\n]|\\.){{6,}}"|'(?:[^'\\\r\n]|\\.){{6,}}'|["']?[^\s"'][^\s"]{{4,}}[^\s"'.,;:)\]}}>])"""),
+    "private_key": (r"-----BEGIN ", rf"-----BEGIN ({_LABEL})-----(?:(?:(?!-----BEGIN )[\x00-\xff]){{0,20000}}?-----END \1-----|(?:(?:\s|\\r|\\n)*[0-9A-Za-z+/=]{{16,}})*)"),
+    "sk_key": (r"\bsk-", r"\bsk-[0-9A-Za-z_-]{32,}"),
+    "slack_token": (r"\bxox[abprs]-", r"\bxox[abprs]-[0-9]+-[0-9]+-[0-9A-Za-z-]+"),
+    "stripe_key": (r"\b[sr]k_live_", RULES["stripe_key"]),
+    "url_login": (r"\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://", r"""\b(?:https?|ftp|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?)://[^\s/:@"'<>]*:[^\s/"'<>]+@"""),
+}
 MARK = b"[secret]"
 
 
@@ -52,40 +73,40 @@ def spans(text: bytes, rules: set[int], compiled: list[re.Pattern]) -> list[tupl
     return [(r, *m.span()) for r in sorted(rules) for m in compiled[r].finditer(text)]
 
 
-def findings(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def findings(docs: DataFrame, rules: dict[str, tuple[str, str]] = WHOLE) -> DataFrame:
     """(doc_id, rule, nth, secret_md5, n_chars) of every secret; nth counts from 1 in each row and rule.
 
     Null and empty texts have none; repeated rows are each listed; rules are independent, so that a span may be found by
     two. The secret itself is not passed on. Other columns are not read.
     """
-    names, automaton = list(rules), Automaton(list(rules.values()))
+    names, automaton = list(rules), Automaton([anchor for anchor, _ in rules.values()])
 
     def scan(batches):
-        compiled = [re.compile(p.encode()) for p in rules.values()]
+        compiled = [re.compile(p.encode()) for _, p in rules.values()]
         for batch in batches:
             ids, out = batch["doc_id"], []
             for r, which in sorted(hits(batch["text"], automaton).items()):
                 text, count = batch["text"][r].as_py().encode(), {}
                 for rule, a, b in spans(text, which, compiled):
                     count[rule] = count.get(rule, 0) + 1
-                    out.append((ids[r].as_py(), names[rule], count[rule], hashlib.md5(text[a:b]).hexdigest(), b - a))
+                    out.append((ids[r].as_py(), names[rule], count[rule], hashlib.md5(text[a:b]).hexdigest(), len(text[a:b].decode())))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()))], ["doc_id", "rule", "nth", "secret_md5", "n_chars"])
 
     return core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(scan), "doc_id long, rule string, nth int, secret_md5 string, n_chars int")
 
 
-def redacted(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def redacted(docs: DataFrame, rules: dict[str, tuple[str, str]] = WHOLE) -> DataFrame:
     """docs with every secret in text replaced by [secret]; spans that overlap or touch become one mark.
 
     All rows and columns stay; n_chars, if there is such a column, counts the new text's characters where it changed. Null and
     empty texts stay as they are.
     """
     core.ship(docs.sparkSession)
-    automaton = Automaton(list(rules.values()))
+    automaton = Automaton([anchor for anchor, _ in rules.values()])
     schema = docs.schema
 
     def scan(batches):
-        compiled = [re.compile(p.encode()) for p in rules.values()]
+        compiled = [re.compile(p.encode()) for _, p in rules.values()]
         for batch in batches:
             found = hits(batch.column("text"), automaton)
             if found:
@@ -96,6 +117,8 @@ def redacted(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
                         if a > at or not out:
                             out += [text[at:a], MARK]
                         at = max(at, b)
+                    if not out:
+                        continue
                     texts[r] = (b"".join(out) + text[at:]).decode()
                     if sizes:
                         sizes[r] = len(texts[r])
