@@ -21,4 +21,5 @@ ORACLE = {
     "op7_transport_streams": transport.ORACLE,
     "op1_warc": warc.ORACLE,
     "op2_secret_scan": secrets.oracle(),
+    "op8_repeated_passages": suffixes.ORACLE,
 }

@@ -199,7 +199,8 @@ def test_suffix_array_is_sorted():
     assert rest == sorted(rest) and len(rest) == 400
 
 
-def test_passages_against_all_windows(docs, texts):
+@pytest.mark.parametrize("range_size", [suffixes.RANGE, 20])
+def test_passages_against_all_windows(docs, texts, range_size):
     own = collections.defaultdict(set)
     words = {i: tokens(t) for i, t in texts.items()}
     for i, w in words.items():
@@ -210,17 +211,27 @@ def test_passages_against_all_windows(docs, texts):
         run = None
         for s in range(len(w) - 49):
             o = own[tuple(w[s : s + 50])]
-            if len(o) > 1:
-                if run and s <= run[1]:
-                    run = (run[0], s + 50, min(run[2], *o))
-                else:
-                    want |= {(i, *run)} if run else set()
-                    run = (s, s + 50, min(o))
+            if len(o) > 1 and run and s == run[1] - 49 and min(o) == run[2]:
+                run = (run[0], s + 50, run[2])
+            else:
+                want |= {(i, *run)} if run else set()
+                run = (s, s + 50, min(o)) if len(o) > 1 else None
         want |= {(i, *run)} if run else set()
-    assert {tuple(r) for r in suffixes.repeated(docs).collect()} == want and want
-    # With frequent keys compared the other way, and with none.
-    assert {tuple(r) for r in suffixes.repeated(docs, hot=2).collect()} == want
-    assert {tuple(r) for r in suffixes.repeated(docs, hot=0).collect()} == want
+    assert {tuple(r) for r in suffixes.repeated(docs, range_size=range_size).collect()} == want and want
+
+
+@pytest.mark.parametrize("range_size", [suffixes.RANGE, 40])
+def test_passages_that_many_documents_share(spark, range_size):
+    """A passage inside texts of their own, its tail with others before it, and exact copies: the hot keys lie in several ranges."""
+    random.seed(11)
+    passage = [f"p{i}" for i in range(120)]
+    rest = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    made = [rest(30 + i % 60) + passage + rest(70) for i in range(150)] + [rest(80) + passage[30:] + rest(40) for _ in range(60)] + [passage[:90] + rest(60)] * 40
+    got = {tuple(r) for r in suffixes.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string"), range_size=range_size).collect()}
+    want = {(i, 30 + i % 60, 150 + i % 60, 0) for i in range(150)} | {(150 + i, 80, 170, 0) for i in range(60)}
+    for i in range(210, 250):
+        want |= {(i, 0, 90, 0), (i, 41, 150, 210)}
+    assert got == want
 
 
 @pytest.mark.parametrize("buckets", [2, 64])
