@@ -1,9 +1,11 @@
-"""Katz backoff language model over token ids: counts, Good-Turing discounts, backoff weights, and scores of documents.
-
-A document is its tokens between two end tokens. Training counts token pairs in numpy inside each batch and then in one
-aggregation; what the driver gets is bounded by the vocabulary. Pair probabilities lie in a table partitioned by context.
-Scoring sends each chunk's distinct pairs, with the places they occur in, to the model's buckets, which look them up, back
-off to single tokens for pairs never seen, and return one sum for each document.
+"""Katz backoff language model over token ids: third order, Good-Turing discounts, backoff weights, and scores of documents.
+
+A document is its tokens and an end token, after two end tokens. Training counts token triples in numpy inside each batch and then
+in one aggregation; the counts of pairs and single tokens are sums of those. Discounted probabilities and the backoff weight of
+every context, exactly normalised by the mass that the next lower order gives to what wasn't seen, lie in a table of grams.
+Scoring sends each chunk's distinct triples, with the places they occur in, to the buckets of their middle token, which hold all that the
+recursion from triple to pair to token can ask for, and returns one sum for each document and bucket. The buckets of a frequent
+middle token are split by the last one.
 """
 
 from __future__ import annotations
@@ -14,42 +16,54 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import bpe, core
 
 #: Counts up to this are discounted.
 CUTOFF = 5
-#: Pairs in one part of the stored table, about.
+#: Grams in one part of the stored table, about.
 PART = 4_000_000
-#: Buckets of the model at most in scoring.
-BUCKETS = 64
-_ROW_BITS, _WORD_BITS = 16, 17
+#: Distinct triples that a task counts at once.
+COUNTED = 4_000_000
+_ROW_BITS, _BITS = 16, 17
+_MASK = (1 << _BITS) - 1
+#: Codes: u, v, w of a triple one after the other; the marks tell the weight of the context u, v and the pair v, w.
+CONTEXT, PAIR = 1 << 52, 1 << 53
 _MIX = 1_000_003
 
 
 @dataclass(frozen=True)
 class Model:
-    """pairs: (ctx, word, n, logp, part), stored; the rest is indexed by token id. P(w|c) is exp(logp), or backoff[c] * unigram[w]."""
+    """grams: (code, value, v, w, part), stored: log probabilities of triples and pairs, and log backoff weights of contexts (u, v).
+
+    unigram[w] and backoff[v] (of single-token contexts) are indexed by token id, as is counts, how often each id was seen.
+    """
 
-    pairs: DataFrame
+    grams: DataFrame
     unigram: np.ndarray
     backoff: np.ndarray
+    counts: np.ndarray
 
 
-def events(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, token, row) of every token and end of the rows that have tokens."""
+def events(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code of the triple that ends there, row) of every token and end of the rows that have tokens."""
     size = np.diff(at)
     some = np.flatnonzero(size)
-    row = np.repeat(some, size[some] + 1)
-    seq = np.full(len(row), end, np.int64)
-    seq[np.arange(len(ids)) + np.repeat(np.arange(len(some)), size[some])] = ids
-    return np.concatenate([[end], seq[:-1]]).astype(np.int64)[: len(seq)], seq, row
+    long = size[some] + 1
+    row = np.repeat(some, long)
+    word = np.full(len(row), end, np.int64)
+    word[np.arange(len(ids)) + np.repeat(np.arange(len(some)), size[some])] = ids
+    first = np.cumsum(long) - long
+    before, last = np.roll(word, 1), np.roll(word, 2)
+    before[first] = last[first] = end
+    last[first[long > 1] + 1] = end
+    return last << 2 * _BITS | before << _BITS | word, row
 
 
 def discounts(frequencies: dict[int, int], cutoff: int = CUTOFF) -> np.ndarray:
-    """The factor of each count up to cutoff, at 0 the one of larger counts. frequencies: how many pairs have a count.
+    """The factor of each count up to cutoff, at 0 the one of larger counts. frequencies: how many grams have a count.
 
     Good-Turing with Katz's renormalisation. Where that isn't between 0 and 1, as in small samples, a count r gets
     1 - D / r with D = N1 / (N1 + 2 N2), or 1 / 2 if there are no single counts.
@@ -79,54 +93,106 @@ def unigrams(counts: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
     return p / p.sum()
 
 
+def _frequencies(grams: DataFrame, cutoff: int) -> dict[int, int]:
+    return {r.n: r["count"] for r in grams.where(F.col("n") <= cutoff + 1).groupBy("n").count().collect()}
+
+
+def _factor(table: np.ndarray, cutoff: int):
+    return F.element_at(F.array(*[F.lit(float(x)) for x in table]), F.when(F.col("n") > cutoff, 1).otherwise(F.col("n").cast("int") + 1))
+
+
+def _normalised():
+    """(scale, backoff) columns of a context from its columns total, kept, lower.
+
+    kept is the discounted count, lower the mass that the lower order gives to the words seen. If that is all, nothing is left to back
+    off to and the seen words share 1; if nothing was discounted, there is one event more, for what wasn't seen.
+    """
+    total, kept, lower = F.col("total"), F.col("kept"), F.col("lower")
+    full, none = 1 - lower < 1e-12, total - kept < 1e-9 * total
+    scale = F.when(full, 1 / kept).when(none, 1 / (total + 1)).otherwise(1 / total)
+    left = F.when(none, 1 / (total + 1)).otherwise(1 - kept / total)
+    return scale, F.when(full, 0.0).otherwise(left / (1 - lower))
+
+
 def train(docs: DataFrame, tokenizer: str = bpe.PATH, cutoff: int = CUTOFF) -> Model:
-    """The model of all documents. Null and empty texts count nothing, repeated rows count each; an empty table gives equal probabilities."""
+    """The model of all documents. Null and empty texts count nothing, repeated rows count each; an empty table gives equal probabilities.
+
+    A text of any length is counted whole. What comes to the driver is bounded by the vocabulary. Other columns than text aren't read.
+    """
     spark = docs.sparkSession
 
     def count(batches):
-        coder = bpe.load(tokenizer)
+        coder, codes, counts = bpe.load(tokenizer), [], []
+
+        def merged():
+            c, which = np.unique(np.concatenate(codes), return_inverse=True)
+            return c, np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
+
         for batch in batches:
-            codes, counts = [], []
             for _, _, data, offs in core.chunks(batch["text"]):
-                ctx, word, _ = events(*coder.encode(data, offs), coder.end)
-                c, n = np.unique(ctx << _WORD_BITS | word, return_counts=True)
+                c, n = np.unique(events(*coder.encode(data, offs), coder.end)[0], return_counts=True)
                 codes.append(c)
                 counts.append(n)
-            if codes:
-                c, which = np.unique(np.concatenate(codes), return_inverse=True)
-                n = np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((c >> _WORD_BITS).astype(np.int32)), pa.array((c & (1 << _WORD_BITS) - 1).astype(np.int32)), pa.array(n)], ["ctx", "word", "n"])
-
-    counted = core.ids_only(docs, "doc_id", "text").select("text").mapInArrow(core.tidy(count), "ctx int, word int, n long")
-    pairs = core.written(counted.groupBy("ctx", "word").agg(F.sum("n").alias("n")))
+                if sum(map(len, codes)) > COUNTED:
+                    c, n = merged()
+                    codes, counts = [c], [n]
+                    if len(c) > COUNTED // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["code", "n"])
+                        codes, counts = [], []
+        if codes:
+            c, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["code", "n"])
+
+    counted = core.ids_only(docs, "doc_id", "text").select("text").mapInArrow(core.tidy(count), "code long, n long")
+    triples = core.written(counted.groupBy("code").agg(F.sum("n").alias("n")))
+    cut = lambda shift: F.shiftright("code", shift).bitwiseAND(F.lit(_MASK)).cast("int")
+    # Every pair and token is the end of just one triple.
+    pairs = core.written(triples.select(cut(_BITS).alias("v"), cut(0).alias("w"), "n").groupBy("v", "w").agg(F.sum("n").alias("n")))
     size = bpe.load(tokenizer).end + 1
-    factor = discounts({r.n: r["count"] for r in pairs.where(F.col("n") <= cutoff + 1).groupBy("n").count().collect()}, cutoff)
-    words = pairs.groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    words = pairs.groupBy("w").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
-    counts[words.word] = words.n
+    counts[words.w] = words.n
     unigram = unigrams(counts, cutoff)
 
-    d = F.element_at(F.array(*[F.lit(float(x)) for x in factor]), F.when(F.col("n") > cutoff, 1).otherwise(F.col("n").cast("int") + 1))
-    # One row for each token id: a table bounded by the vocabulary.
-    lower = spark.createDataFrame(pa.table({"word": pa.array(np.arange(size), pa.int32()), "p1": unigram}))
-    sums = (
-        pairs.join(F.broadcast(lower), "word")
-        .groupBy("ctx")
-        .agg(F.sum("n").alias("total"), F.sum(d * F.col("n")).alias("kept"), F.sum("p1").alias("lower"), F.count("*").alias("kinds"))
-        .toPandas()
-    )
-    total, kept, seen = sums.total.to_numpy(float), sums.kept.to_numpy(float), sums.lower.to_numpy(float)
-    full = sums.kinds.to_numpy() == size
-    # Nothing was discounted: one event more, for what wasn't seen. Everything was seen: nothing is left to back off to.
-    none = (total - kept < 1e-9 * total) & ~full
-    scale = np.where(full, 1 / np.maximum(kept, 1e-300), np.where(none, 1 / (total + 1), 1 / total))
-    left = np.where(full, 0.0, np.where(none, 1 / (total + 1), 1 - kept / total))
+    # Tables of one row for each token id are bounded by the vocabulary.
+    lower = spark.createDataFrame(pa.table({"w": pa.array(np.arange(size), pa.int32()), "p1": unigram}))
+    d = _factor(discounts(_frequencies(pairs, cutoff), cutoff), cutoff)
+    scale, weight = _normalised()
+    sums = pairs.join(F.broadcast(lower), "w").groupBy("v").agg(F.sum("n").alias("total"), F.sum(d * F.col("n")).alias("kept"), F.sum("p1").alias("lower"))
+    sums = sums.select("v", scale.alias("scale"), weight.alias("backoff")).toPandas()
     backoff = np.ones(size)
-    backoff[sums.ctx] = np.where(full, 0.0, left / np.maximum(1 - seen, 1e-300))
-    scales = spark.createDataFrame(pa.table({"ctx": pa.array(sums.ctx.to_numpy(), pa.int32()), "scale": scale})) if len(sums) else spark.createDataFrame([], "ctx int, scale double")
-    parts = max(1, int(sums.kinds.sum()) // PART)
-    table = pairs.join(F.broadcast(scales), "ctx").select("ctx", "word", "n", F.log(d * F.col("n") * F.col("scale")).alias("logp"), F.pmod("ctx", F.lit(parts)).alias("part"))
-    return Model(core.written(table.repartition("part"), "part"), unigram, backoff)
+    backoff[sums.v] = sums.backoff
+    scales = spark.createDataFrame(sums[["v", "scale"]].astype({"v": "int32"}), "v int, scale double") if len(sums) else spark.createDataFrame([], "v int, scale double")
+    second = pairs.join(F.broadcast(scales), "v").select("v", "w", (d * F.col("n") * F.col("scale")).alias("p2"))
+
+    # A context has at most as many triples as the vocabulary has ids, so that its window is bounded.
+    d = _factor(discounts(_frequencies(triples, cutoff), cutoff), cutoff)
+    by = Window.partitionBy("u", "v")
+    third = (
+        triples.select("code", "n", cut(2 * _BITS).alias("u"), cut(_BITS).alias("v"), cut(0).alias("w"))
+        .join(second, ["v", "w"])
+        .select("code", "u", "v", "w", (d * F.col("n")).alias("kept_n"), F.sum("n").over(by).alias("total"), F.sum(d * F.col("n")).over(by).alias("kept"), F.sum("p2").over(by).alias("lower"), F.min("w").over(by).alias("one"))
+        .withColumns({"scale": scale, "backoff": weight})
+    )
+    # The context's weight goes with its least word.
+    context = (F.shiftleft(F.col("u").cast("long"), _BITS) + F.col("v") + F.lit(CONTEXT)).alias("code")
+    rows = third.select(
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct(F.col("code"), F.log(F.col("kept_n") * F.col("scale")).alias("value"), F.col("v"), F.col("w")),
+                    F.when(F.col("w") == F.col("one"), F.struct(context, F.coalesce(F.log("backoff"), F.lit(float("-inf"))).alias("value"), F.col("v"), F.lit(-1).alias("w"))),
+                ),
+                lambda x: x.isNotNull(),
+            )
+        ).alias("x")
+    ).select("x.*")
+    rows = rows.unionByName(second.select((F.shiftleft(F.col("v").cast("long"), _BITS) + F.col("w") + F.lit(PAIR)).alias("code"), F.log("p2").alias("value"), "v", "w"))
+    parts = max(1, triples.count() // PART)
+    table = rows.withColumn("part", F.pmod(F.hash("v", "w"), F.lit(parts)))
+    if parts > 1:
+        table = table.repartition(F.col("part"))
+    return Model(core.written(table, "part"), unigram, backoff, counts)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -142,19 +208,50 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-_KINDS = (np.uint32, np.uint32, np.uint32, np.uint16, np.uint32)
+#: Of a post: u, v, w of its triples, how many rows each is in, the rows, and how often it is in each.
+_POST = (np.uint16, np.uint16, np.uint16, np.uint16, np.uint16, np.uint16)
+_WIDE = (np.uint32,) * 6
+
+
+def _narrow(arrays):
+    """One byte that tells the width, and the arrays packed."""
+    small = all(not len(x) or x.max() < 1 << 16 for x in arrays)
+    return bytes([small]) + _pack(*(x.astype(np.uint16 if small else np.uint32) for x in arrays))
+
+
+def recursion(code: np.ndarray, keys: np.ndarray, values: np.ndarray, log_unigram: np.ndarray, log_backoff: np.ndarray) -> np.ndarray:
+    """log P(w | u, v) of triples: the triple's own, or the context's weight and the pair's, or that of v and the token's. keys ascend."""
+
+    def ask(which):
+        if not len(keys):
+            return np.zeros(len(which), bool), np.zeros(len(which))
+        at = np.minimum(np.searchsorted(keys, which), len(keys) - 1)
+        return keys[at] == which, values[at]
+
+    seen, out = ask(code)
+    todo = np.flatnonzero(~seen)
+    if len(todo):
+        pair = code[todo] & (1 << 2 * _BITS) - 1
+        known, weight = ask(code[todo] >> _BITS | CONTEXT)
+        both, value = ask(pair | PAIR)
+        one = log_backoff[pair >> _BITS] + log_unigram[pair & _MASK]
+        out[todo] = np.where(known, weight, 0.0) + np.where(both, value, one)
+    return out
 
 
 def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFrame:
     """(doc_id, tokens, logprob, perplexity) of every row with text; tokens counts the end token.
 
-    Null and empty texts have no row; repeated rows have one each. Other columns are not read.
+    Null and empty texts have no row, nor has an empty table; repeated rows have one each; a text of any length is scored whole.
+    Other columns are not read.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The model is cut into few buckets, as a document has a sum from each; beyond those the chunks are dealt to groups, each with a copy of the bucket.
-    buckets = min(BUCKETS, partitions)
-    groups = -(-partitions // buckets)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A middle token that has more than a bucket's share is dealt to several by the last token.
+    shares = (1 + model.counts * buckets // max(1, int(model.counts.sum()))).astype(np.int64)
+
+    def bucket_of(v, w):
+        return (v * _MIX + (w * 7919 % shares[v]) * 104_729) % buckets
 
     def post(batches):
         coder, task, number = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
@@ -162,71 +259,102 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
             for first in range(0, whole.num_rows, 1 << _ROW_BITS):
                 batch = whole.slice(first, 1 << _ROW_BITS)
                 for lo, hi, data, offs in core.chunks(batch["text"]):
-                    ids, at = coder.encode(data, offs)
-                    ctx, word, row = events(ids, at, coder.end)
+                    code, row = events(*coder.encode(data, offs), coder.end)
                     if not len(row):
                         continue
-                    bucket = (ctx * _MIX + word) % buckets
-                    key, n = np.unique((bucket << 49 | ctx << _WORD_BITS + _ROW_BITS | word << _ROW_BITS | row).view(np.uint64), return_counts=True)
-                    pair = key >> np.uint64(_ROW_BITS)
-                    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-                    size = np.diff(np.append(head, len(pair)))
-                    pair = pair[head]
-                    of = (pair >> np.uint64(33)).astype(np.int64)
-                    used = np.unique(of)
                     some = np.unique(row)
                     tokens = np.bincount(row, minlength=hi - lo)[some]
-                    out = []
-                    for b in used.tolist():
-                        i, j = np.searchsorted(of, [b, b + 1])
-                        p, q = head[i], head[j] if j < len(head) else len(key)
-                        code = pair[i:j] & np.uint64((1 << 33) - 1)
-                        out.append(_pack((code >> np.uint64(_WORD_BITS)).astype(np.uint32), (code & np.uint64((1 << _WORD_BITS) - 1)).astype(np.uint32), size[i:j].astype(np.uint32), (key[p:q] & np.uint64(0xFFFF)).astype(np.uint16), n[p:q].astype(np.uint32)))
-                    # The documents' ids go with one of the chunk's rows.
-                    names = [[]] * len(used)
-                    which = number % len(used)
-                    names[which] = batch["doc_id"].slice(lo, hi - lo).take(pa.array(some)).to_pylist()
-                    counts, rows = [[]] * len(used), [[]] * len(used)
-                    counts[which], rows[which] = tokens.tolist(), some.tolist()
+                    order = np.argsort(code, kind="stable")
+                    code, row = code[order], row[order]
+                    entry = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
+                    n, row, code = np.diff(np.append(entry, len(code))), row[entry], code[entry]
+                    head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                    size, code = np.diff(np.append(head, len(code))), code[head]
+                    v, w = code >> _BITS & _MASK, code & _MASK
+                    bucket = bucket_of(v, w)
+                    by = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.uint32), kind="stable")
+                    bucket, code, v, w, size, head = bucket[by], code[by], v[by], w[by], size[by], head[by]
+                    ends = np.cumsum(size)
+                    entries = np.arange(int(size.sum())) + np.repeat(head - (ends - size), size)
+                    row, n = row[entries], n[entries]
+                    used = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                    blobs = [b""]
+                    for i, j in zip(used.tolist(), [*used[1:].tolist(), len(bucket)]):
+                        p, q = int(ends[i] - size[i]), int(ends[j - 1])
+                        blobs.append(_narrow((code[i:j] >> 2 * _BITS, v[i:j], w[i:j], size[i:j], row[p:q], n[p:q])))
+                    rows = len(blobs)
+                    # The documents' ids go in a row of their own.
+                    to = np.concatenate([[number % buckets], bucket[used]])
+                    listed = lambda xs, kind: pa.array([xs] + [None] * (rows - 1), pa.list_(kind))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(used * groups + (task * 7919 + number) % groups, pa.int32()), pa.array([task << 32 | number] * len(used), pa.int64()), pa.array(out, pa.binary()), pa.array(names, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(rows, pa.list_(pa.int32()))],
-                        ["cell", "chunk", "blob", "ids", "tokens", "rows"],
+                        [
+                            pa.array(to, pa.int32()), pa.array([1] * rows, pa.int8()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.array([task << 32 | number] * rows, pa.int64()),
+                            pa.array(blobs, pa.binary()), listed(batch["doc_id"].slice(lo, hi - lo).take(pa.array(some)).to_pylist(), pa.int64()), listed(tokens.tolist(), pa.int64()), listed(some.tolist(), pa.int32()),
+                        ],
+                        ["bucket", "kind", "code", "value", "chunk", "blob", "ids", "tokens", "rows"],
                     )
                     number += 1
 
+    def spread(batches):
+        """The model's rows with their buckets; a context's weight goes to all of its middle token's."""
+        for batch in batches:
+            v, w = batch["v"].to_numpy(), batch["w"].to_numpy()
+            many = np.where(w < 0, shares[v], 1)
+            of = np.repeat(np.arange(len(v)), many)
+            salt = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            bucket = np.where(w[of] < 0, (v[of] * np.int64(_MIX) + salt * 104_729) % buckets, bucket_of(v[of].astype(np.int64), w[of].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), batch["code"].take(pa.array(of)), batch["value"].take(pa.array(of))], ["bucket", "code", "value"])
+
     with np.errstate(divide="ignore"):
         log_unigram, log_backoff = np.log(model.unigram), np.log(model.backoff)
 
-    def look_up(posts: pa.Table, pairs: pa.Table) -> pa.Table:
-        code = pairs["ctx"].to_numpy().astype(np.int64) << _WORD_BITS | pairs["word"].to_numpy()
-        order = np.argsort(code)
-        code, logp = code[order], pairs["logp"].to_numpy()[order]
-        docs_out, sums_out = [], []
-        for blob in posts["blob"]:
-            ctx, word, size, row, n = _unpack(blob.as_py(), *_KINDS)
-            want = ctx.astype(np.int64) << _WORD_BITS | word
-            value = log_backoff[ctx] + log_unigram[word]
-            if len(code):
-                at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-                value = np.where(code[at] == want, logp[at], value)
-            rows = np.unique(row)
-            docs_out.append(rows.astype(np.int32))
-            sums_out.append(np.bincount(np.searchsorted(rows, row), np.repeat(value, size) * n).astype(np.float32))
-        listed = lambda xs, kind: pa.array(xs, pa.list_(kind))
-        return pa.table({"chunk": posts["chunk"], "at": listed(docs_out, pa.int32()), "sums": listed(sums_out, pa.float32()), "ids": posts["ids"], "tokens": posts["tokens"], "rows": posts["rows"]})
+    def look_up(batches):
+        """Rows come by bucket, the model's before the posts; only one bucket's grams are held."""
+        now, parts, keys, values = None, [], None, None
+        for batch in batches:
+            bucket, kind = batch["bucket"].to_numpy(), batch["kind"].to_numpy()
+            step = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])])) if len(bucket) else []
+            for i, j in zip(step, [*step[1:], len(bucket)]):
+                if bucket[i] != now:
+                    now, parts, keys = bucket[i], [], None
+                part = batch.slice(i, j - i)
+                if kind[i] == 0:
+                    parts.append((part["code"].to_numpy(), part["value"].to_numpy()))
+                    continue
+                if keys is None:
+                    keys, values = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+                    # A context's row comes once for each of its buckets, and so perhaps twice to one.
+                    keys, first = np.unique(keys, return_index=True)
+                    values, parts = values[first], []
+                sums = []
+                for blob in part["blob"]:
+                    raw = blob.as_py()
+                    if not raw:
+                        sums.append(None)
+                        continue
+                    u, v, w, size, row, n = _unpack(raw[1:], *(_POST if raw[0] else _WIDE))
+                    value = recursion(u.astype(np.int64) << 2 * _BITS | v.astype(np.int64) << _BITS | w, keys, values, log_unigram, log_backoff)
+                    rows = np.unique(row)
+                    sums.append(_pack(rows.astype(np.uint16), np.bincount(np.searchsorted(rows, row), np.repeat(value, size) * n)))
+                yield pa.RecordBatch.from_arrays([part["chunk"], pa.array(sums, pa.binary()), part["ids"], part["tokens"], part["rows"]], ["chunk", "sums", "ids", "tokens", "rows"])
 
     def gather(parts: pa.Table) -> pa.Table:
         flat = lambda c: parts[c].combine_chunks().flatten()
-        at, sums = flat("at").to_numpy(), flat("sums").to_numpy()
         rows, tokens = flat("rows").to_numpy(), flat("tokens").to_numpy()
-        total = np.bincount(at, sums.astype(np.float64))[rows]
+        total = np.zeros(int(rows.max()) + 1)
+        # In one order, so that the sums don't depend on how the rows arrive.
+        for blob in sorted(x for x in parts["sums"].to_pylist() if x):
+            at, sums = _unpack(blob, np.uint16, np.float64)
+            total[at] += sums
+        total = total[rows]
         return pa.table({"doc_id": flat("ids"), "tokens": tokens, "logprob": total, "perplexity": np.exp(-total / tokens)})
 
-    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(post), "cell int, chunk long, blob binary, ids array<long>, tokens array<int>, rows array<int>")
-    pairs = model.pairs.select("ctx", "word", "logp", F.pmod(F.col("ctx").cast("long") * _MIX + F.col("word"), F.lit(buckets)).cast("int").alias("bucket"))
-    pairs = pairs.select("ctx", "word", "logp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: (F.col("bucket") * groups + g).cast("int"))).alias("cell"))
-    looked = posts.groupBy("cell").cogroup(pairs.groupBy("cell")).applyInArrow(look_up, "chunk long, at array<int>, sums array<float>, ids array<long>, tokens array<int>, rows array<int>")
-    return looked.groupBy("chunk").applyInArrow(gather, "doc_id long, tokens int, logprob double, perplexity double")
+    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(post), "bucket int, kind byte, code long, value double, chunk long, blob binary, ids array<long>, tokens array<long>, rows array<int>")
+    grams = model.grams.select("code", "value", "v", "w").mapInArrow(core.tidy(spread), "bucket int, code long, value double")
+    grams = grams.select("bucket", F.lit(0).cast("byte").alias("kind"), "code", "value", *(F.lit(None).cast(t).alias(c) for c, t in (("chunk", "long"), ("blob", "binary"), ("ids", "array<long>"), ("tokens", "array<long>"), ("rows", "array<int>"))))
+    met = grams.unionByName(posts).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    looked = met.mapInArrow(core.tidy(look_up), "chunk long, sums binary, ids array<long>, tokens array<long>, rows array<int>")
+    return looked.groupBy("chunk").applyInArrow(gather, "doc_id long, tokens long, logprob double, perplexity double").withColumn("tokens", F.col("tokens").cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -234,28 +234,72 @@ def test_passages_that_many_documents_share(spark, range_size):
     assert got == want
 
 
-@pytest.mark.parametrize("buckets", [2, 64])
-def test_katz(docs, texts, monkeypatch, buckets):
-    monkeypatch.setattr(katz, "BUCKETS", buckets)
-    model = katz.train(docs.where("doc_id % 2 = 0"))
+def good_turing(counts, cutoff=5):
+    """The discounted count of each gram, from the definition."""
+    n = collections.Counter(counts.values())
+    share = (cutoff + 1) * n[cutoff + 1] / n[1] if n[1] else 1.0
+    absolute = min(0.9, n[1] / (n[1] + 2 * n[2])) if n[1] else 0.5
+
+    def kept(r):
+        if r > cutoff:
+            return float(r)
+        factor = ((r + 1) * n[r + 1] / n[r] / r - share) / (1 - share) if share < 1 and n[r] else 0.0
+        return r * factor if 0 < factor < 1 else r - absolute
+
+    return {g: kept(r) for g, r in counts.items()}
+
+
+def katz_by_hand(sequences, size):
+    """P(w | context) as a function of a context of up to two tokens; all dictionaries, one gram at a time."""
+    counts = [collections.Counter(), collections.Counter(), collections.Counter()]
+    for seq in sequences:
+        for i in range(2, len(seq)):
+            for k in range(3):
+                counts[k][tuple(seq[i - k : i + 1])] += 1
+    total = sum(counts[0].values())
+    one = {g: c / total for g, c in good_turing(counts[0]).items()}
+    left = (1 - sum(one.values())) / (size - len(one))
+    levels = [lambda context, w: one.get((w,), left)]
+    for k in (1, 2):
+        below, kept, by = levels[-1], good_turing(counts[k]), collections.defaultdict(list)
+        for g in counts[k]:
+            by[g[:-1]].append(g[-1])
+        weight, scale = {}, {}
+        for c, ws in by.items():
+            n, d = sum(counts[k][(*c, w)] for w in ws), sum(kept[(*c, w)] for w in ws)
+            n += n - d < 1e-9 * n
+            scale[c] = 1 / n
+            weight[c] = (1 - d / n) / (1 - sum(below(c[1:], w) for w in ws))
+        levels.append(lambda c, w, kept=kept, weight=weight, scale=scale, below=below: kept[(*c, w)] * scale[c] if (*c, w) in kept else weight.get(c, 1.0) * below(c[1:], w))
+    return levels[2]
+
+
+@pytest.mark.parametrize("partitions", [3, 64])
+def test_katz(spark, docs, texts, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        model = katz.train(docs.where("doc_id % 2 = 0"))
+        got = {r.doc_id: (r.tokens, r.logprob) for r in katz.scored(docs, model).collect()}
+        grams = {r.code: r.value for r in model.grams.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
     coder = bpe.load()
-    logp = {(r.ctx, r.word): r.logp for r in model.pairs.collect()}
-    total, lower = collections.Counter(), collections.Counter()
-    for (c, w), p in logp.items():
-        total[c] += math.exp(p)
-        lower[c] += model.unigram[w]
-    assert max(abs(total[c] + model.backoff[c] * (1 - lower[c]) - 1) for c in total) < 1e-9
-    assert abs(model.unigram.sum() - 1) < 1e-9
-    got = {r.doc_id: (r.tokens, r.logprob) for r in katz.scored(docs, model).collect()}
-    backed = 0
-    for i, t in texts.items():
-        seq = [coder.end, *coder.encoding.encode_ordinary(t), coder.end]
-        want = 0.0
-        for c, w in itertools.pairwise(seq):
-            backed += (c, w) not in logp
-            want += logp[c, w] if (c, w) in logp else math.log(model.backoff[c] * model.unigram[w])
-        assert got[i][0] == len(seq) - 1 and got[i][1] == pytest.approx(want, rel=1e-4)
-    assert backed
+    seqs = {i: [coder.end] * 2 + coder.encoding.encode_ordinary(t) + [coder.end] for i, t in texts.items()}
+    p = katz_by_hand([s for i, s in seqs.items() if i % 2 == 0], coder.end + 1)
+    assert set(got) == set(seqs)
+    for i, s in seqs.items():
+        want = sum(math.log(p((s[k - 2], s[k - 1]), s[k])) for k in range(2, len(s)))
+        assert got[i][0] == len(s) - 2 and got[i][1] == pytest.approx(want, rel=1e-9)
+    # All of the vocabulary after a context has the probability 1, in the model and by hand, seen or not.
+    keys = np.array(sorted(grams))
+    values = np.array([grams[k] for k in keys.tolist()])
+    random.seed(12)
+    with np.errstate(divide="ignore"):
+        logs = np.log(model.unigram), np.log(model.backoff)
+    for u, v in random.sample([(s[k], s[k + 1]) for s in seqs.values() for k in range(len(s) - 2)], 60) + [(coder.end, coder.end), (5, 7)]:
+        code = np.arange(coder.end + 1) | v << 17 | u << 34
+        assert np.exp(katz.recursion(code, keys, values, *logs)).sum() == pytest.approx(1, abs=1e-9)
+    assert model.unigram.sum() == pytest.approx(1, abs=1e-12)
 
 
 def test_tokens_are_the_tokenizers(texts):

@@ -91,7 +91,7 @@ def test_katz(docs, none):
     made = katz.scored(docs, model).toPandas()
     assert len(made) == docs.where("length(text) > 0").count() and (made.logprob < 0).all()
     empty = katz.train(none)
-    assert empty.pairs.count() == 0 and katz.scored(none, empty).count() == 0
+    assert empty.grams.count() == 0 and katz.scored(none, empty).count() == 0
     assert abs(katz.scored(docs, empty).toPandas().perplexity - 50257).max() < 1
 
 
