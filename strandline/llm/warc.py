@@ -1,13 +1,14 @@
 """WARC files: a sequential reader of gzip members, and the writer that makes its files.
 
 The reader takes one stream of compressed bytes and never holds more than one record: a member is inflated piece by piece,
-its header block is cut off, content-length frames the body, and the body's SHA-1 is compared with the digest in the header.
-A damaged record is reported and the reader goes on at the next member.
+its header block is cut off, content-length frames the body, and the block and payload digests of the header are compared with the
+bytes they are of. A damaged record is reported and the reader goes on at the next member.
 """
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
 import zlib
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from strandline.llm import core, files
 
-#: Compressed bytes read at once.
+#: Compressed bytes read, and bytes inflated, at once.
 READ = 1 << 20
+#: Bytes of one inflated member from which on it is not kept: no column could hold it.
+LARGEST = 1 << 30
 #: Rows of one batch, and bytes of their bodies, that are sent on together.
 ROWS, BYTES = 512, 8 << 20
 #: Compression level of written members.
@@ -33,9 +36,51 @@ def digest(body: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
 
 
+def same_digest(stated: str, body: bytes) -> bool | None:
+    """Whether a labelled digest is that of the bytes, in base 32, 16 or 64; None for an algorithm that isn't known or a value that is no digest."""
+    label, _, value = stated.strip().partition(":")
+    label = label.strip().lower().replace("-", "")
+    if label not in ("sha1", "sha256", "sha384", "sha512", "md5"):
+        return None
+    have, value = hashlib.new(label, body).digest(), value.strip()
+    try:
+        if len(value) == 2 * len(have):
+            return bytes.fromhex(value) == have
+        if len(value.rstrip("=")) == -(-len(have) * 8 // 5):
+            bare = value.rstrip("=").upper()
+            return base64.b32decode(bare + "=" * (-len(bare) % 8)) == have
+        if len(value.rstrip("=")) == -(-len(have) * 8 // 6):
+            bare = value.rstrip("=")
+            return base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4)) == have
+    except (ValueError, binascii.Error):
+        pass
+    return None
+
+
+def payloads(body: bytes, content_type: str) -> list[bytes]:
+    """What a payload digest may be of: a message's body, without its chunk marks too if it has such, or the whole block of another type."""
+    if not content_type.lower().replace(" ", "").startswith("application/http"):
+        return [body]
+    head, gap, rest = body.partition(b"\r\n\r\n")
+    if not gap:
+        return [b""]
+    if b"\ntransfer-encoding: chunked" not in head.lower():
+        return [rest]
+    whole, at = b"", 0
+    while (end := rest.find(b"\r\n", at)) > 0:
+        try:
+            size = int(rest[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            return [rest, whole]
+        whole, at = whole + rest[end + 2 : end + 2 + size], end + 4 + size
+    return [rest]
+
+
 def record(kind: str, uri: str | None, name: str, body: bytes, content_type: str = "text/html", date: str = "2024-01-01T00:00:00Z", extra: tuple = ()) -> bytes:
     """One record as a gzip member of its own. Line ends in a URI are escaped, so that they can't end the header line."""
-    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"Content-Type: {content_type}", f"WARC-Payload-Digest: {digest(body)}", f"Content-Length: {len(body)}", *extra]
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"Content-Type: {content_type}", f"WARC-Block-Digest: {digest(body)}", f"WARC-Payload-Digest: {digest(payloads(body, content_type)[0])}", f"Content-Length: {len(body)}", *extra]
     if uri is not None:
         lines.insert(2, "WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"))
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -43,26 +88,34 @@ def record(kind: str, uri: str | None, name: str, body: bytes, content_type: str
 
 
 def members(stream):
-    """(position, bytes or None, error) of each gzip member. The bytes of a damaged one are None; reading goes on at the next sign of a member."""
+    """(position, bytes or None, error) of each gzip member. The bytes of a damaged one, and of one larger than LARGEST, are None; reading goes on at the
+    next sign of a member."""
     buffer, base, at_end = b"", 0, False
     while True:
         if not buffer:
             buffer = stream.read(READ)
             if not buffer:
                 return
-        inflate, out, used = zlib.decompressobj(31), [], 0
+        inflate, out, used, size = zlib.decompressobj(31), [], 0, 0
         try:
             while True:
-                out.append(inflate.decompress(buffer))
-                used += len(buffer) - len(inflate.unused_data)
-                buffer = inflate.unused_data
+                part = inflate.decompress(buffer, READ)
+                size += len(part)
+                if size <= LARGEST:
+                    out.append(part)
+                else:
+                    out.clear()
+                left = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+                used += len(buffer) - len(left)
+                buffer = left
                 if inflate.eof:
                     break
-                buffer = stream.read(READ)
-                if not buffer:
-                    at_end = True
-                    raise zlib.error("cut short")
-            yield base, b"".join(out), None
+                if not buffer and len(part) < READ:
+                    buffer = stream.read(READ)
+                    if not buffer:
+                        at_end = True
+                        raise zlib.error("cut short")
+            yield base, b"".join(out) if size <= LARGEST else None, None if size <= LARGEST else f"larger than {LARGEST} bytes"
             base += used
         except zlib.error as e:
             yield base, None, str(e)
@@ -104,10 +157,17 @@ def parse(data: bytes) -> dict:
     out |= {"length": int(size), "body": body}
     if tail != b"\r\n\r\n":
         out["error"] = "no end after the content length"
-    want = fields.get("warc-payload-digest") or fields.get("warc-block-digest")
-    if want:
-        out["digest_ok"] = want == digest(body)
-        if not out["digest_ok"]:
+    found = []
+    if want := fields.get("warc-block-digest"):
+        found.append(same_digest(want, body))
+    # A revisit's payload is elsewhere, and a segment's digest is of all segments.
+    if (want := fields.get("warc-payload-digest")) and fields.get("warc-type") not in ("revisit", "continuation") and "warc-segment-number" not in fields:
+        each = [same_digest(want, x) for x in payloads(body, fields.get("content-type", ""))]
+        found.append(None if None in each else any(each))
+    found = [x for x in found if x is not None]
+    if found:
+        out["digest_ok"] = all(found)
+        if not all(found):
             out.setdefault("error", "another digest")
     return out
 
@@ -116,8 +176,9 @@ def read_records(paths: DataFrame) -> DataFrame:
     """All records of the files in the column path, one file a task at a time, as (path, position, type, uri, record_id, date,
     content_type, length, digest_ok, error, body).
 
-    position is the member's first byte. digest_ok is null if the record has no digest. A damaged member has a row with its error
-    and no body. An empty file has no records; the same path twice is read twice; null paths are left out.
+    position is the member's first byte. digest_ok tells whether the block's and the payload's digests are right; it is null if the record has none, or none of
+    a known algorithm. The payload of an HTTP message is its body. A damaged member, and one of more than LARGEST bytes, has a row with its error
+    and no body. An empty file has no records, an empty table gives none; the same path twice is read twice; null paths are left out. Other columns aren't read.
     """
 
     def load(batches):
@@ -145,7 +206,8 @@ def write_pages(pages: DataFrame, folder: str) -> DataFrame:
     """One WARC file for each partition of pages (page_id, url, html); gives their paths (path, records) as a written table.
 
     A file has a name of its own for each attempt at a task, and only those of successful ones are in the table. A null html is a record
-    of no bytes, marked as such; a null url has no URI line. Repeated rows are written each; other columns are not read.
+    of no bytes, marked as such; a null url has no URI line. Repeated rows are written each, in the order that they come in; a text of any length is one record;
+    an empty table gives files without records or none. Other columns are not read.
     """
     core.ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
