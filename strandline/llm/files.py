@@ -20,4 +20,7 @@ def new_file(folder: str, name: str):
     part = f"{base}/.{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part, compression=None) as stream:
         yield stream
+    # A repeated task replaces what it wrote before, also where a move doesn't overwrite.
+    if system.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:
+        system.delete_file(f"{base}/{name}")
     system.move(part, f"{base}/{name}")

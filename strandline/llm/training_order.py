@@ -3,7 +3,7 @@
 Documents become one stream of tokens in each partition, cut into sequences of one length and numbered throughout. A keyed
 Feistel network over the next even power of two, walked until it lands below the number of sequences, gives every sequence
 a slot of its own: a shuffle that needs no sort key, no memory and no communication. Slots are ranges of shards; each range is written in
-order, so that a reader goes on from any slot by one seek.
+order, so that a reader goes on from any slot by one seek. Every sequence has its CRC behind it, inside the stride, and is held against it when it is read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ LENGTH, SHARD, KEY, ROUNDS = 1024, 4096, 20240229, 6
 #: magic, version, tokens of a sequence, bytes of a token, first slot, sequences
 HEADER = "<4sIIIQQ"
 HEADER_SIZE = struct.calcsize(HEADER)
-MAGIC = b"TOKS"
+MAGIC, VERSION, WIDTH, CRC = b"TOKS", 2, 2, 4
 
 
 def permute(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -63,7 +63,8 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
 
     docs is read twice and must give the same partitions both times, as files do; if a partition's tokens differ, the job fails. The
     last sequence of a partition is filled up with end tokens. Null and empty texts add nothing; repeated rows are each written. An empty
-    table gives no shard. One number for each partition goes to the driver. Other columns are not read.
+    table gives no shard. A text of any length runs over as many sequences as it needs. Slots are distinct, so there are no ties. One number for each
+    partition goes to the driver. Other columns are not read.
     """
     texts = core.ids_only(docs, "doc_id", "text").select("text")
     sizes = {r.part: r.n for r in streams(texts, tokenizer).collect()}
@@ -122,10 +123,10 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
                     now, crc, count = slot // shard, 0, 0
                     manager = files.new_file(folder, f"shard-{now:08d}.bin")
                     stream = manager.__enter__()
-                    stream.write(struct.pack(HEADER, MAGIC, 1, length, 2, now * shard, min(shard, total - now * shard)))
+                    stream.write(struct.pack(HEADER, MAGIC, VERSION, length, WIDTH, now * shard, min(shard, total - now * shard)))
                 raw = unpacker.decompress(blob.as_py())
                 crc = zlib.crc32(raw, crc)
-                stream.write(raw)
+                stream.write(raw + struct.pack("<I", zlib.crc32(raw)))
                 count += 1
         if now is not None:
             close()
@@ -142,31 +143,51 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
 
 
 def read_from(folder: str, shard: int, slot: int, length: int = LENGTH, size: int = SHARD):
-    """(slot, tokens) from the given slot of a shard on; one seek, then sequential."""
+    """(slot, tokens) from the given slot of a shard on; one seek, then sequential.
+
+    Another format, version or length, a shard that is cut short, and a sequence that isn't what was written are errors.
+    """
     system, base = files.open_fs(folder)
     with system.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
-        magic, _, have, width, first, count = struct.unpack(HEADER, f.read(HEADER_SIZE))
-        if magic != MAGIC or have != length:
+        head = f.read(HEADER_SIZE)
+        if len(head) < HEADER_SIZE:
+            raise ValueError("a shard is cut short")
+        magic, version, have, width, first, count = struct.unpack(HEADER, head)
+        if magic != MAGIC or version != VERSION or have != length or width not in (2, 4):
             raise ValueError("not a shard of such sequences")
-        f.seek(HEADER_SIZE + (slot - first) * length * width)
+        if not first <= slot <= first + count:
+            raise ValueError(f"shard {shard} has no slot {slot}")
+        stride = length * width + CRC
+        f.seek(HEADER_SIZE + (slot - first) * stride)
         for s in range(slot, first + count):
-            raw = f.read(length * width)
-            if len(raw) != length * width:
+            raw = f.read(stride)
+            if len(raw) != stride:
                 raise ValueError("a shard is cut short")
-            yield s, np.frombuffer(raw, "<u2")
+            if zlib.crc32(raw[:-CRC]) != struct.unpack("<I", raw[-CRC:])[0]:
+                raise ValueError(f"the sequence of slot {s} in shard {shard} is damaged")
+            yield s, np.frombuffer(raw[:-CRC], f"<u{width}")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, from_slot: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
-    """(slot, shard, byte_offset, crc, first_token) of every sequence from from_slot on, one shard a task at a time. crc is that of the sequence's bytes."""
+    """(slot, shard, byte_offset, crc, first_token) of every sequence from from_slot on, one shard a task at a time. crc is that of the sequence's bytes.
+
+    A shard that is read whole is also held against the manifest: another number of sequences or another CRC is an error. An empty manifest gives no rows.
+    """
 
     def load(batches):
         for batch in batches:
-            for s, first in zip(batch["shard"].to_pylist(), batch["first_slot"].to_pylist()):
-                out = [(slot, s, HEADER_SIZE + (slot - first) * 2 * length, zlib.crc32(t.tobytes()), int(t[0])) for slot, t in read_from(folder, s, max(first, from_slot), length, shard)]
+            for s, first, count, want in zip(*(batch[c].to_pylist() for c in ("shard", "first_slot", "sequences", "crc"))):
+                out, crc = [], 0
+                for slot, t in read_from(folder, s, max(first, from_slot), length, shard):
+                    raw = t.tobytes()
+                    crc = zlib.crc32(raw, crc)
+                    out.append((slot, s, HEADER_SIZE + (slot - first) * (len(raw) + CRC), zlib.crc32(raw), int(t[0])))
+                if len(out) != first + count - max(first, from_slot) or (from_slot <= first and crc != want):
+                    raise ValueError(f"shard {s} isn't the one of the manifest")
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["slot", "shard", "byte_offset", "crc", "first_token"])
 
     core.ship(spark)
-    wanted = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).select("shard", "first_slot")
+    wanted = manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).select("shard", "first_slot", "sequences", "crc")
     return wanted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(core.tidy(load), "slot long, shard long, byte_offset long, crc long, first_token int")
 
 
