@@ -1,8 +1,9 @@
 """MPEG transport streams in a media column: program tables, continuity, elementary packets, timestamps, random access.
 
 The header fields of all packets of a stream are read at once as columns of a matrix of 188-byte rows. Sections are put together
-and their CRC is checked; the program map gives the elementary streams. A gap in a stream's continuity counter ends the packet
-under way, which is marked as broken; a duplicate packet is skipped. The muxer makes the streams that the tests and the query read.
+and their CRC is checked; the program map that is valid at a packet's place gives its elementary stream, whatever version came before or later.
+A gap in a stream's continuity counter ends the packet under way, which is marked as broken; a duplicate packet is skipped. Timestamps are
+unwrapped beyond their 33 bits, so that a program's time goes on. The muxer makes the streams that the tests and the query read.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from strandline.llm import core
 
 PACKET, SYNC, CLOCK = 188, 0x47, 90_000
-SCHEMA = "program int, pid int, stream_type int, unit int, position int, pts long, dts long, random_access boolean, broken boolean, n_bytes int, payload binary"
+SCHEMA = "program int, pid int, stream_type int, unit int, position int, pts long, dts long, pcr long, random_access boolean, broken boolean, n_bytes int, payload binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-TYPES = [pa.int32()] * 5 + [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
+TYPES = [pa.int32()] * 5 + [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32(), pa.binary()]
 PMT_PID, FIRST_PID, STREAM_TYPE = 0x1000, 0x100, 0x06
 
 _CRC = np.zeros(256, np.uint64)
@@ -39,8 +40,8 @@ def crc32(data: bytes) -> int:
 # --- writing -------------------------------------------------------------------------------------------------------------
 
 
-def section(table: int, number: int, body: bytes) -> bytes:
-    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, len(body) + 9 & 0xFF]) + number.to_bytes(2, "big") + b"\xc1\x00\x00"
+def section(table: int, number: int, body: bytes, version: int = 0) -> bytes:
+    head = bytes([table, 0xB0 | (len(body) + 9) >> 8, len(body) + 9 & 0xFF]) + number.to_bytes(2, "big") + bytes([0xC1 | version << 1, 0, 0])
     return head + body + crc32(head + body).to_bytes(4, "big")
 
 
@@ -76,12 +77,12 @@ def elementary(payload: bytes, pts: int | None, dts: int | None = None) -> bytes
     return b"\x00\x00\x01\xbd" + (size if size < 65536 else 0).to_bytes(2, "big") + bytes([0x80, flags, len(stamps)]) + stamps + payload
 
 
-def mux(units: list[tuple[int, int | None, int | None, bool, bytes]], program: int = 1) -> bytes:
+def mux(units: list[tuple[int, int | None, int | None, bool, bytes]], program: int = 1, version: int = 0, kind: int = STREAM_TYPE) -> bytes:
     """A stream of one program from (track, pts, dts, random access, payload) in order, the tables first."""
     tracks = sorted({u[0] for u in units})
     pat = section(0, 1, program.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
-    each = b"".join(bytes([STREAM_TYPE]) + (0xE000 | FIRST_PID + t).to_bytes(2, "big") + b"\xf0\x00" for t in tracks)
-    pmt = section(2, program, (0xE000 | FIRST_PID + tracks[0] if tracks else 0xFFFF).to_bytes(2, "big") + b"\xf0\x00" + each)
+    each = b"".join(bytes([kind]) + (0xE000 | FIRST_PID + t).to_bytes(2, "big") + b"\xf0\x00" for t in tracks)
+    pmt = section(2, program, (0xE000 | FIRST_PID + tracks[0] if tracks else 0xFFFF).to_bytes(2, "big") + b"\xf0\x00" + each, version)
     out = packets(0, b"\x00" + pat, 0) + packets(PMT_PID, b"\x00" + pmt, 0)
     counter: dict[int, int] = {}
     for track, pts, dts, key, payload in units:
@@ -118,10 +119,10 @@ def aligned(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(places)
 
 
-def sections(rows: np.ndarray, start: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """The whole sections of one PID whose CRC is right."""
+def sections(rows: np.ndarray, start: np.ndarray, begin: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """(byte of the packet that ends it, section) of the whole sections of one PID that are in force and whose CRC is right."""
     out, buffer = [], None
-    for row, first, at in zip(rows, start.tolist(), begin.tolist()):
+    for row, first, at, where in zip(rows, start.tolist(), begin.tolist(), place.tolist()):
         part = row[at:].tobytes()
         if first and part:
             point = 1 + part[0]
@@ -135,8 +136,9 @@ def sections(rows: np.ndarray, start: np.ndarray, begin: np.ndarray) -> list[byt
                 size = 3 + ((buffer[1] & 0xF) << 8 | buffer[2])
                 if len(buffer) < size:
                     break
-                if crc32(buffer[:size]) == 0:
-                    out.append(buffer[:size])
+                # The lowest bit of this byte is 0 in a table that is announced for later.
+                if size > 9 and buffer[5] & 1 and crc32(buffer[:size]) == 0:
+                    out.append((where, buffer[:size]))
                 buffer = buffer[size:]
     return out
 
@@ -145,10 +147,17 @@ def _time(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | b[1] << 22 | b[2] >> 1 << 15 | b[3] << 7 | b[4] >> 1
 
 
+def unwrapped(t: int, near: int | None) -> int:
+    """t, or of the times that differ from it by a multiple of 2 ** 33 the one nearest to near."""
+    return t if near is None else t + ((near - t + (1 << 32)) >> 33 << 33)
+
+
 def demux(data: bytes) -> list[tuple]:
     """The elementary packets in order of their first byte, as rows of NAMES.
 
-    unit counts the packets of a PID from 0. broken: packets of the transport stream were lost, scrambled or marked as wrong inside it, its length isn't the
+    unit counts the packets of a PID from 0. pts, dts and pcr (in units of the 90 kHz clock, of the unit's first packet, null where it has none) are unwrapped: each is
+    taken nearest to the program's time before it, so that they go on when the 33 bits overflow. A packet belongs to the program and type of the last
+    program map before it, of the first map if none is before. broken: packets of the transport stream were lost, scrambled or marked as wrong inside it, its length isn't the
     one it states, or it has no header. Data of a PID before its first unit start are dropped; a stream without tables has none.
     """
     rows, place = aligned(data)
@@ -162,26 +171,30 @@ def demux(data: bytes) -> list[tuple]:
     begin = np.minimum(4 + field * (length + 1), PACKET)
     begin = np.where(loaded, begin, PACKET)
 
-    programs: dict[int, int] = {}
-    mine = np.flatnonzero((pid == 0) & ~wrong)
-    for s in sections(rows[mine], start[mine], begin[mine]):
+    def tables(of: int):
+        mine = np.flatnonzero((pid == of) & ~wrong)
+        return sections(rows[mine], start[mine], begin[mine], place[mine])
+
+    maps = {}
+    for _, s in tables(0):
         if s[0] == 0:
             for i in range(8, len(s) - 4, 4):
                 number, to = int.from_bytes(s[i : i + 2], "big"), int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF
                 if number:
-                    programs[to] = number
-    streams: dict[int, tuple[int, int]] = {}
-    for to in programs:
-        mine = np.flatnonzero((pid == to) & ~wrong)
-        for s in sections(rows[mine], start[mine], begin[mine]):
+                    maps[to] = True
+    #: PID -> (byte from which on, program, type), ascending
+    streams: dict[int, list[tuple[int, int, int]]] = {}
+    for to in maps:
+        for where, s in tables(to):
             if s[0] == 2:
                 i = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
                 while i + 5 <= len(s) - 4:
-                    streams[int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF] = (int.from_bytes(s[3:5], "big"), s[i])
+                    streams.setdefault(int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF, []).append((where, int.from_bytes(s[3:5], "big"), s[i]))
                     i += 5 + (int.from_bytes(s[i + 3 : i + 5], "big") & 0xFFF)
 
     out = []
-    for stream, (program, kind) in streams.items():
+    for stream, history in streams.items():
+        history.sort()
         mine = np.flatnonzero((pid == stream) & loaded)
         if not len(mine):
             continue
@@ -196,7 +209,10 @@ def demux(data: bytes) -> list[tuple]:
             # A gap before the first packet of a unit broke the one before it, if any.
             part, broken = mine[i:j], bool(lost[i + 1 : j].any() or wrong[mine[i]] or (j < len(mine) and lost[j]))
             body = b"".join(rows[r, begin[r] :].tobytes() for r in part.tolist())
-            pts = dts = None
+            pts = dts = pcr = None
+            if flags[part[0]] & 0x10 and length[part[0]] >= 7:
+                high = rows[part[0], 6:11].tobytes()
+                pcr = int.from_bytes(high, "big") >> 7
             if len(body) < 9 or body[:3] != b"\x00\x00\x01":
                 payload, broken = body, True
             else:
@@ -206,15 +222,31 @@ def demux(data: bytes) -> list[tuple]:
                 if marks & 2 and len(stamps) >= 5:
                     pts = _time(stamps)
                     dts = _time(stamps[5:]) if marks == 3 and len(stamps) >= 10 else pts
-            out.append((program, stream, kind, unit, int(place[part[0]]), pts, dts, bool(flags[part[0]] & 0x40), broken, len(payload), payload))
-    return sorted(out, key=lambda x: (x[4], x[1]))
+            at = int(place[part[0]])
+            _, program, kind = next((x for x in reversed(history) if x[0] <= at), history[0])
+            out.append([program, stream, kind, unit, at, pts, dts, pcr, bool(flags[part[0]] & 0x40), broken, len(payload), payload])
+    out.sort(key=lambda x: (x[4], x[1]))
+    time: dict[int, int] = {}
+    for x in out:
+        if x[7] is not None:
+            x[7] = unwrapped(x[7], time.get(x[0]))
+        if x[6] is not None:
+            x[6] = unwrapped(x[6], x[7] if x[7] is not None else time.get(x[0]))
+            x[5] = unwrapped(x[5], x[6])
+        now = x[6] if x[6] is not None else x[7]
+        if now is not None:
+            time[x[0]] = now
+    return [tuple(x) for x in out]
 
 
 def packets_of(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """id_col and the columns of SCHEMA for every elementary packet of the streams in media_col.
 
-    Null and empty streams, and bytes without sync or tables, have none; repeated rows are each read. Other columns are not read.
+    Null and empty streams, and bytes without sync or tables, have none, nor has an empty table; repeated rows are each read. A stream is one value of the column and
+    is read whole; of packets that begin at one byte there are none. Other columns are not read; id_col must not be a name of SCHEMA.
     """
+    if id_col in NAMES:
+        raise ValueError(f"the id column must not have a name of the result: {id_col}")
     core.ship(media.sparkSession)
     data = media.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{media_col}`").cast("binary").alias("media"))
 
