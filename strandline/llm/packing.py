@@ -7,6 +7,8 @@ and its pieces are removed. Bins are filled inside groups of documents, which a
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,10 +22,14 @@ CAPACITY = 2048
 GROUP = 8192
 
 
-def fill(available: dict[int, int], room: int) -> list[tuple[int, int]]:
-    """(length, times) of the combination of available lengths with the largest sum up to room. Longer lengths are tried first; of equal sums the first found counts."""
+def fill(available: dict[int, int], room: int, lengths: list[int] | None = None) -> list[tuple[int, int]]:
+    """(length, times) of the combination of available lengths with the largest sum up to room. Longer lengths are tried first; of equal sums the first found counts.
+
+    lengths: the keys of available in ascending order, if they are at hand.
+    """
     mask, reach, steps = (1 << (room + 1)) - 1, 1, []
-    for length in sorted((x for x in available if x <= room), reverse=True):
+    lengths = sorted(available) if lengths is None else lengths
+    for length in reversed(lengths[: bisect.bisect_right(lengths, room)]):
         left, times = min(available[length], room // length), 1
         while left and not reach >> room:
             take = min(times, left)
@@ -50,21 +56,25 @@ def bins(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
         places.setdefault(int(lengths[i]), []).append(i)
     available = {x: len(p) for x, p in places.items()}
     bin_of, start = np.zeros(len(lengths), np.int32), np.zeros(len(lengths), np.int32)
-    order, number = sorted(places, reverse=True), 0
-    for longest in order:
-        while available.get(longest):
-            at = 0
-            available[longest] -= 1
-            rest = fill({x: n for x, n in available.items() if n}, capacity - longest) if capacity > longest else []
-            for length, times in [(longest, 1), *rest]:
-                for _ in range(times):
-                    i = places[length].pop()
-                    bin_of[i], start[i] = number, at
-                    at += length
-            for length, times in rest:
-                available[length] -= times
-            number += 1
-        available.pop(longest, None)
+    left, number = sorted(places), 0
+    while left:
+        longest, at = left[-1], 0
+
+        def take(length: int, times: int) -> None:
+            nonlocal at
+            for _ in range(times):
+                i = places[length].pop()
+                bin_of[i], start[i] = number, at
+                at += length
+            available[length] -= times
+            if not available[length]:
+                del available[length]
+                left.pop(bisect.bisect_left(left, length))
+
+        take(longest, 1)
+        for length, times in fill(available, capacity - longest, left) if capacity > longest else []:
+            take(length, times)
+        number += 1
     return bin_of, start
 
 
@@ -73,7 +83,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokeni
 
     A document of n tokens has n + 1 with its end token; it is cut into pieces of capacity and a rest, piece counts from 0. Null and
     empty texts have no piece. Repeated rows are packed each; equal lengths are used in order of doc_id and piece. Null ids are
-    packed too. An empty table gives no rows. Other columns are not read.
+    packed too. A text of any length is cut. An empty table gives no rows. Other columns are not read.
     """
     packs = max(1, -(-docs.count() // group))
 
@@ -97,8 +107,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokeni
         return pa.Table.from_arrays(columns, ["doc_id", "piece", "pack", "bin", "start", "tokens"])
 
     sized = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(measure), "doc_id long, n long")
+    # So few bytes would be read by one or two tasks if the partitions weren't numbered.
+    tasks = min(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n"), F.lit(packs)).cast("int"))
+        .repartition(tasks, "pack")
         .groupBy("pack")
         .applyInArrow(pack, "doc_id long, piece int, pack int, bin int, start int, tokens int")
     )
