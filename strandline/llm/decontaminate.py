@@ -8,18 +8,20 @@ these are extended to the longest match. Documents with a match go.
 
 from __future__ import annotations
 
+import atexit
 import functools
+import io
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm import core
+from strandline.llm import core, files
 
-#: Words of a match at least; an item of fewer words must occur whole. Items under LEAST_ITEM words are not looked up.
-MIN_WORDS, LEAST_ITEM = 13, 4
-#: Bytes of benchmark text that every task gets at once. A larger benchmark takes several passes over the documents.
+#: Words of a match at least; an item of fewer words must occur whole.
+MIN_WORDS = 13
+#: Bytes of benchmark text that a task holds at once. A larger benchmark is looked up in parts, each in the same suffix arrays.
 PASS_BYTES = 32 << 20
 
 
@@ -81,10 +83,16 @@ class Shard:
         s = np.arange(len(q))
         s = s[item_end[item] - s >= least]
         keys = self.pack(np.concatenate([q, np.zeros(self.per, np.int64)]))
-        lo, hi = np.searchsorted(self.first, keys[s], "left"), np.searchsorted(self.first, keys[s], "right")
+        # Fewer words than a key holds are looked up as the range of keys that begin with them.
+        rest = self.bits * np.maximum(0, self.per - least[s]).astype(np.uint64)
+        low = keys[s] >> rest << rest
+        lo, hi = np.searchsorted(self.first, low, "left"), np.searchsorted(self.first, low + (np.uint64(1) << rest) - np.uint64(1), "right")
+        # A word that is in no document has a name above all, whose key may overflow.
+        known = np.ones(len(s), bool)
+        for k in range(self.per):
+            known &= (k >= least[s]) | (q[np.minimum(s + k, len(q) - 1)] <= len(self.names))
+        hi = np.where(known, hi, lo)
         block = self.per
-        if len(s) and min_words < self.per:
-            raise ValueError(f"a match must have at least {self.per} words")
         while len(s):
             on = lo < hi
             s, lo, hi = s[on], lo[on], hi[on]
@@ -133,7 +141,7 @@ def passes(benchmark: DataFrame, limit: int = PASS_BYTES):
         data, offs = core.text_bytes(rows["text"])
         h, _, _, row = core.words(data, offs)
         first, end = np.searchsorted(row, np.arange(rows.num_rows)), np.searchsorted(row, np.arange(rows.num_rows), "right")
-        some = np.flatnonzero(end - first >= LEAST_ITEM)
+        some = np.flatnonzero(end > first)
         if len(some):
             keep = np.isin(row, some)
             size = (end - first)[some]
@@ -141,64 +149,125 @@ def passes(benchmark: DataFrame, limit: int = PASS_BYTES):
             yield rows["item_id"].combine_chunks().take(pa.array(some)), h[keep], end - size, end
 
 
-def matches(col: pa.Array, items: tuple, min_words: int):
-    """(row, item, words, row's word, item's word) arrays of the longest match of each row and item; of equally long ones the first in the text."""
-    _, h_items, first, end = items
-    depth = int((end - first).max()) + 3
+def store(benchmark: DataFrame, limit: int) -> tuple[list[str], int]:
+    """The passes as files in the shared folder, and the words of the longest item."""
+    spark, folder, paths, longest = benchmark.sparkSession, core.shared_dir(benchmark.sparkSession), [], 0
+    for ids, h, first, end in passes(benchmark, limit):
+        raw = io.BytesIO()
+        numbers = ids.fill_null(0).to_numpy()
+        np.savez(raw, ids=numbers, null=ids.is_null().to_numpy(zero_copy_only=False), h=h, first=first, end=end)
+        with files.new_file(folder, f"pass-{len(paths):05d}.npz") as out:
+            out.write(raw.getvalue())
+        paths.append(f"{folder}/pass-{len(paths):05d}.npz")
+        longest = max(longest, int((end - first).max()))
+    if paths:
+        atexit.register(core.delete, spark, folder)
+    return paths, longest
+
+
+@functools.lru_cache(maxsize=2)
+def load(path: str) -> tuple:
+    """(item ids, word hashes, first words, end words) of a pass; a worker holds two at most."""
+    system, base = files.open_fs(path)
+    with system.open_input_stream(base, compression=None) as f:
+        kept = np.load(io.BytesIO(f.read()))
+    return pa.array(kept["ids"], mask=kept["null"]), kept["h"], kept["first"], kept["end"]
+
+
+def matches(col: pa.Array, paths: list[str], longest: int, min_words: int):
+    """(item ids, row, item, words, row's word, item's word) arrays of the longest match of each row and item; of equally long ones the first in the text.
+
+    The suffix array of a chunk is built once and serves all passes.
+    """
     for lo, hi, data, offs in core.chunks(col):
         h, _, _, row = core.words(data, offs)
         if not len(h):
             continue
-        shard = Shard(h, row, hi - lo, depth)
-        item, item_word, p, size = shard.find(h_items, first, end, min_words)
-        if not len(item):
-            continue
-        r = np.searchsorted(shard.at, p)
+        shard = Shard(h, row, hi - lo, longest + 3)
         begin = np.searchsorted(row, np.arange(hi - lo))
-        order = np.lexsort((item_word, r, -size, item, row[r]))
-        key = row[r][order].astype(np.int64) * (len(first) + 1) + item[order]
-        best = order[np.concatenate([[True], key[1:] != key[:-1]])]
-        rows = row[r[best]]
-        yield lo + rows, item[best], size[best], r[best] - begin[rows], item_word[best]
+        for path in paths:
+            ids, h_items, first, end = load(path)
+            item, item_word, p, size = shard.find(h_items, first, end, min_words)
+            if not len(item):
+                continue
+            r = np.searchsorted(shard.at, p)
+            order = np.lexsort((item_word, r, -size, item, row[r]))
+            key = row[r][order].astype(np.int64) * (len(first) + 1) + item[order]
+            best = order[np.concatenate([[True], key[1:] != key[:-1]])]
+            rows = row[r[best]]
+            yield ids, lo + rows, item[best], size[best], r[best] - begin[rows], item_word[best]
+
+
+def _least(min_words: int) -> None:
+    if min_words < 1:
+        raise ValueError("a match must have at least one word")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, match_words, doc_word, item_word): the longest verbatim match of each document with each item.
 
-    Words are runs of letters and digits, ASCII case and punctuation are ignored. doc_word and item_word count from 0. Null
-    and empty texts match nothing; repeated rows are each listed; of equally long matches the first in the document is given.
-    An empty benchmark gives no rows. Other columns are not read.
+    Words are runs of letters and digits, ASCII case and punctuation are ignored. doc_word and item_word count from 0. A match has
+    min_words words at least, or is the whole of an item of fewer, be it one word. Null and empty texts and items match nothing; repeated
+    rows are each listed; of equally long matches the first in the document is given, and of those the first in the item.
+    A text of any length is searched whole. An empty benchmark or table gives no rows. Other columns are not read.
     """
+    _least(min_words)
     docs = core.ids_only(docs, "doc_id", "text")
+    paths, longest = store(benchmark, pass_bytes)
+    schema = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
+    if not paths:
+        return docs.sparkSession.createDataFrame([], schema)
 
-    def search(items, batches):
+    def search(batches):
         for batch in batches:
-            for rows, item, size, doc_word, item_word in matches(batch["text"], items, min_words):
+            for ids, rows, item, size, doc_word, item_word in matches(batch["text"], paths, longest, min_words):
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(rows)), items[0].take(pa.array(item)), pa.array(size, pa.int32()), pa.array(doc_word, pa.int32()), pa.array(item_word, pa.int32())],
+                    [batch["doc_id"].take(pa.array(rows)), ids.take(pa.array(item)), pa.array(size, pa.int32()), pa.array(doc_word, pa.int32()), pa.array(item_word, pa.int32())],
                     ["doc_id", "item_id", "match_words", "doc_word", "item_word"],
                 )
 
-    schema = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
-    found = [docs.mapInArrow(core.tidy(functools.partial(search, items)), schema) for items in passes(benchmark, pass_bytes)]
-    return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
+    return docs.mapInArrow(core.tidy(search), schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """docs without the rows that contaminated() lists, all columns as they are; no shuffle."""
+    _least(min_words)
     core.ship(docs.sparkSession)
+    paths, longest = store(benchmark, pass_bytes)
+    if not paths:
+        return docs
 
-    def sift(items, batches):
+    def sift(batches):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for rows, *_ in matches(batch.column("text"), items, min_words):
+            for _, rows, *_ in matches(batch.column("text"), paths, longest, min_words):
                 keep[rows] = False
             yield batch.filter(pa.array(keep))
 
-    for items in passes(benchmark, pass_bytes):
-        docs = docs.mapInArrow(core.tidy(functools.partial(sift, items)), docs.schema)
-    return docs
+    return docs.mapInArrow(core.tidy(sift), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(core.read(spark, sf_dir, "documents"), core.read(spark, sf_dir, "benchmark"))
+
+
+ORACLE = f"""WITH cut AS (
+  SELECT doc_id AS id, 0 AS kind, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents
+  UNION ALL SELECT item_id, 1, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+') FROM benchmark
+), least AS (
+  SELECT id, w, least({MIN_WORDS}, len(w)) AS n FROM cut WHERE kind = 1 AND len(w) > 0
+), spans AS (
+  SELECT id AS item_id, w, n, i, array_to_string(w[i + 1:i + n], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM least)
+), places AS (
+  SELECT id AS doc_id, w AS d, n, j, array_to_string(w[j + 1:j + n], ' ') AS s FROM (SELECT c.id, c.w, l.n, unnest(range(0, len(c.w) - l.n + 1)) AS j FROM cut c, (SELECT DISTINCT n FROM least) l WHERE kind = 0 AND len(c.w) >= l.n)
+), seeds AS (
+  SELECT doc_id, item_id, i, j, spans.n, j - i AS diagonal FROM spans JOIN places USING (s, n)
+), marked AS (
+  SELECT *, CASE WHEN i = lag(i) OVER o + 1 THEN 0 ELSE 1 END AS new FROM seeds WINDOW o AS (PARTITION BY doc_id, item_id, diagonal ORDER BY i)
+), runs AS (
+  SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM marked
+), found AS (
+  SELECT doc_id, item_id, max(i) - min(i) + any_value(n) AS match_words, min(j) AS doc_word, min(i) AS item_word FROM runs GROUP BY doc_id, item_id, diagonal, run
+)
+SELECT doc_id, item_id, CAST(match_words AS INTEGER) AS match_words, CAST(doc_word AS INTEGER) AS doc_word, CAST(item_word AS INTEGER) AS item_word
+FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY match_words DESC, doc_word, item_word) = 1"""

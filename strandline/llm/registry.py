@@ -21,5 +21,6 @@ ORACLE = {
     "op7_transport_streams": transport.ORACLE,
     "op1_warc": warc.ORACLE,
     "op2_secret_scan": secrets.oracle(),
+    "op5_decontamination": decontaminate.ORACLE,
     "op8_repeated_passages": suffixes.ORACLE,
 }
