@@ -35,7 +35,7 @@ def texts(docs):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     mine, theirs = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.ORACLE[name]).df()
     assert set(mine.columns) == set(theirs.columns)
@@ -82,8 +82,7 @@ def test_lanes_equal_one_lane():
     ("they kill time", 0.0), ("he wrote i will kill you", 0.0), ("not today you idiot", 1.5), ("nothing at all", 0.0), ("idiot moron", 2.0),
 ])
 def test_grammar(text, score):
-    keys, kinds = toxicity.lexicon()
-    total, _ = toxicity.scores(pa.array([text, None, text.upper() + "."]), keys, kinds, toxicity.grammar())
+    total, _ = toxicity.scores(pa.array([text, None, text.upper() + "."]), toxicity.grammar())
     assert total.tolist() == pytest.approx([score, 0, score])
 
 
@@ -95,11 +94,11 @@ def test_composition_is_the_cascade():
             s = t.next[s][x]
         return out
 
-    a = toxicity.transducer(2, lambda s, c: c % 2, lambda s, c: (c + s) % 11)
-    b = toxicity.transducer(3, lambda s, c: (s + c) % 3, lambda s, c: (c * (s + 1)) % 11)
+    a = toxicity.transducer(2, lambda s, c: c % 2, lambda s, c: (c + s) % toxicity.CLASSES)
+    b = toxicity.transducer(3, lambda s, c: (s + c) % 3, lambda s, c: (c * (s + 1)) % toxicity.CLASSES)
     random.seed(3)
     for _ in range(50):
-        xs = random.choices(range(11), k=20)
+        xs = random.choices(range(toxicity.CLASSES), k=20)
         assert run(b.after(a), xs) == run(b, run(a, xs))
 
 
@@ -366,16 +365,17 @@ def test_streams_round_trip():
             units.append((random.randint(0, 2), pts, dts, random.random() < 0.5, random.randbytes(size)))
         data = transport.mux(units)
         got = transport.demux(b"junk\x47xx" * (trial % 2) + data)
-        assert [(r[1], r[5], r[6], r[7], r[8], r[10]) for r in got] == [(0x100 + t, p, p if q is None else q, k, False, x) for t, p, q, k, x in units]
+        wrap = lambda t: None if t is None else t % (1 << 33)
+        assert [(r[1], wrap(r[5]), wrap(r[6]), *r[8:10], r[11]) for r in got] == [(0x100 + t, p, p if q is None else q, k, False, x) for t, p, q, k, x in units]
 
 
 def test_lost_and_doubled_packets():
     data = transport.mux([(0, i * 90_000, None, True, bytes([i]) * 1000) for i in range(5)])
     parts = [data[i : i + 188] for i in range(0, len(data), 188)]
     lost = transport.demux(b"".join(parts[:10] + parts[11:]))
-    assert [r[8] for r in lost] == [False, True, False, False, False]
+    assert [r[9] for r in lost] == [False, True, False, False, False]
     doubled = transport.demux(b"".join(parts[:10] + [parts[9]] + parts[10:]))
-    assert [(r[8], r[9]) for r in doubled] == [(False, 1000)] * 5
+    assert [(r[9], r[10]) for r in doubled] == [(False, 1000)] * 5
     assert transport.crc32(b"123456789") == 0x0376E6E7
 
 

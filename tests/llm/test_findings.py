@@ -1,13 +1,16 @@
 """What a review found to be less than the whole job."""
 
+import base64
+import collections
 import hashlib
+import itertools
 import random
 import re
 
 import pyarrow as pa
 import pytest
 
-from strandline.llm import secrets, toxicity
+from strandline.llm import automaton, core, decontaminate, files, minhash, packing, secrets, toxicity, training_order, transport, warc
 
 
 def test_toxicity_is_held_against_length(spark):
@@ -41,8 +44,7 @@ def test_threshold_loses_few_of_each_language_and_length():
     ("i'll kill you", 2.0), ("we\u2019ll kill you", 2.0), ("the plan 't idiot", 1.0), ("a 'n't idiot", 1.0), ("isn't it so, you idiot", 1.5), ("can'tankerous idiot", 1.0),
 ])
 def test_contracted_negation(text, score):
-    keys, kinds = toxicity.lexicon()
-    total, _ = toxicity.scores(pa.array([text, None, "t", "n't", "'t idiot"]), keys, kinds, toxicity.grammar())
+    total, _ = toxicity.scores(pa.array([text, None, "t", "n't", "'t idiot"]), toxicity.grammar())
     assert total.tolist() == pytest.approx([score, 0, 0, 0, 1.0])
 
 
@@ -73,3 +75,181 @@ def test_whole_rules_find_what_the_sql_finds():
     plain = "keys of glpat-short, AIza, https://host:80/a@b, password: no, a -----BEGIN CERTIFICATE----- line"
     compiled = [re.compile(p.encode()) for _, p in secrets.WHOLE.values()]
     assert not secrets.spans(plain.encode(), set(range(len(compiled))), compiled)
+
+
+# --- WARC digests ------------------------------------------------------------------------------------------------------
+
+
+def warc_record(body, *fields):
+    return b"WARC/1.0\r\nWARC-Type: response\r\n" + b"".join(f.encode() + b"\r\n" for f in fields) + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+def test_payload_of_an_http_message():
+    html, sha1 = b"<p>text</p>", lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + html
+    http = "Content-Type: application/http; msgtype=response"
+    assert warc.parse(warc_record(body, http, "WARC-Payload-Digest: " + sha1(html)))["digest_ok"]
+    assert not warc.parse(warc_record(body, http, "WARC-Payload-Digest: " + sha1(body)))["digest_ok"]
+    assert warc.parse(warc_record(body, http, "WARC-Payload-Digest: " + sha1(html), "WARC-Block-Digest: " + sha1(body)))["digest_ok"]
+    assert warc.parse(warc_record(body, http, "WARC-Payload-Digest: " + sha1(html), "WARC-Block-Digest: " + sha1(html)))["error"] == "another digest"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\n<p>t\r\n7\r\next</p>\r\n0\r\n\r\n"
+    assert warc.parse(warc_record(chunked, http, "WARC-Payload-Digest: " + sha1(html)))["digest_ok"]
+    assert warc.parse(warc_record(body, "Content-Type: text/html", "WARC-Payload-Digest: " + sha1(body)))["digest_ok"]
+    assert "digest_ok" not in warc.parse(warc_record(b"", http, "WARC-Type: revisit", "WARC-Payload-Digest: " + sha1(html)))
+
+
+@pytest.mark.parametrize("stated,right", [
+    ("sha1:" + hashlib.sha1(b"abc").hexdigest(), True), ("SHA1:" + base64.b32encode(hashlib.sha1(b"abc").digest()).decode().lower(), True), ("sha256:" + hashlib.sha256(b"abc").hexdigest(), True),
+    ("sha-256:" + base64.b32encode(hashlib.sha256(b"abc").digest()).decode(), True), ("sha256:" + base64.b64encode(hashlib.sha256(b"abc").digest()).decode(), True), ("md5:" + hashlib.md5(b"abc").hexdigest(), True),
+    ("sha256:" + hashlib.sha256(b"abd").hexdigest(), False), ("xxh64:0123456789abcdef", None), ("sha1:short", None), ("nonsense", None),
+])
+def test_digest_algorithms(stated, right):
+    assert warc.same_digest(stated, b"abc") is right
+    assert warc.parse(warc_record(b"abc", "Content-Type: text/plain", "WARC-Block-Digest: " + stated)).get("digest_ok") is right
+
+
+def test_a_member_that_inflates_without_end_is_not_kept(monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "LARGEST", 100_000)
+    small = warc.record("response", "http://x", "urn:page:1", b"abc")
+    found = list(warc.members(io.BytesIO(small + warc.record("response", "http://y", "urn:page:2", b"a" * 5_000_000) + small)))
+    assert [x[1] is None for x in found] == [False, True, False] and found[1][2] == "larger than 100000 bytes" and found[2][1] == found[0][1]
+
+
+# --- Shards ------------------------------------------------------------------------------------------------------------
+
+
+def test_damaged_shards_are_errors(spark):
+    docs = core.written(spark.createDataFrame([(i, f"some words of document {i} " * 40) for i in range(30)], "doc_id long, text string").repartition(2, "doc_id"))
+    folder = core.shared_dir(spark)
+    manifest = training_order.materialise(docs, folder, length=64, shard=16)
+    again = training_order.materialise(docs, folder, length=64, shard=16)  # a repeated run replaces its files
+    assert sorted(map(tuple, manifest.collect())) == sorted(map(tuple, again.collect()))
+    total = manifest.agg({"sequences": "sum"}).first()[0]
+    system, base = files.open_fs(folder)
+    name = f"{base}/shard-00000001.bin"
+    with system.open_input_stream(name, compression=None) as f:
+        good = f.read()
+    size = training_order.HEADER_SIZE
+
+    def write(data):
+        with system.open_output_stream(name, compression=None) as f:
+            f.write(data)
+
+    def read(slot=0):
+        return training_order.read_shards(spark, folder, manifest, slot, 64, 16).count()
+
+    for bad, why in ((good[: size + 1000] + bytes([good[size + 1000] ^ 1]) + good[size + 1001 :], "damaged"), (good[:-10], "cut short"), (good[:4] + b"\x09" + good[5:], "not a shard"), (good[:10], "cut short")):
+        write(bad)
+        for slot in (0, 17):
+            with pytest.raises(Exception, match=why):
+                read(slot)
+    write(good)
+    assert read() == total and read(17) == total - 17
+    # Another whole shard in its place is found by the manifest.
+    with system.open_input_stream(f"{base}/shard-00000000.bin", compression=None) as f:
+        other = f.read()
+    write(good[:size] + other[size:])
+    with pytest.raises(Exception, match="isn't the one of the manifest"):
+        read()
+    write(good)
+
+
+# --- Transport streams -------------------------------------------------------------------------------------------------
+
+
+def test_time_goes_on_when_stamps_overflow():
+    data = transport.mux([(0, t, None, True, b"x" * 300) for t in (8589844592, 0, 90_000, 8589934591)])
+    assert [r[5] for r in transport.demux(data)] == [8589844592, 8589934592, 8590024592, 8589934591]
+    both = transport.mux([(0, 5, (1 << 33) - 5, True, b"x"), (1, 20, None, False, b"y"), (0, 2, None, False, b"z")])
+    assert [(r[5], r[6]) for r in transport.demux(both)] == [((1 << 33) + 5, (1 << 33) - 5), ((1 << 33) + 20, (1 << 33) + 20), ((1 << 33) + 2, (1 << 33) + 2)]
+
+
+def test_tables_change():
+    first, second = transport.mux([(0, 0, None, True, b"a"), (1, 0, None, True, b"b")], 1, 0, 0x1B), transport.mux([(1, 9, None, True, b"c"), (2, 9, None, True, b"d")], 7, 1, 0x0F)
+    got = {(r[0], r[1], r[2], r[11]) for r in transport.demux(first + second)}
+    assert got == {(1, 0x100, 0x1B, b"a"), (1, 0x101, 0x1B, b"b"), (7, 0x101, 0x0F, b"c"), (7, 0x102, 0x0F, b"d")}
+
+
+def test_a_table_for_later_is_not_in_force():
+    data = bytearray(transport.mux([(0, 0, None, True, b"a")]))
+    assert transport.demux(bytes(data))
+    at = 188 + 4 + data[188 + 4] + 1 + 1  # the program map's packet, behind its adaptation field and pointer
+    section = data[at : at + 3 + (data[at + 1] & 0xF) * 256 + data[at + 2]]
+    section[5] &= 0xFE
+    section[-4:] = transport.crc32(bytes(section[:-4])).to_bytes(4, "big")
+    data[at : at + len(section)] = section
+    assert transport.demux(bytes(data)) == []
+
+
+def test_clock_reference():
+    unit = transport.elementary(b"x" * 10, 1000)
+    packet = transport.packets(0x100, unit, 0, True)[0]
+    base, field = 123_456_789, bytearray(packet)
+    field[5] |= 0x10
+    field[6:12] = (base << 15 | 0x3F << 9 | 42).to_bytes(6, "big")
+    data = transport.mux([(0, 0, None, True, b"a")])[:376] + bytes(field)
+    assert [(r[5], r[7]) for r in transport.demux(data)] == [(1000, base)]
+
+
+def test_id_column_must_not_clash(spark):
+    with pytest.raises(ValueError):
+        transport.packets_of(spark.createDataFrame([(1, b"")], "pid int, media binary"), "pid", "media")
+
+
+# --- Decontamination ---------------------------------------------------------------------------------------------------
+
+
+def test_short_items_and_short_matches(spark):
+    random.seed(21)
+    texts = {i: " ".join(random.choices("abcdefgh", k=random.randint(0, 30))) for i in range(60)}
+    items = {i: " ".join(random.choices("abcdefgh", k=n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 4, 5, 7])} | {9: "nowhere", 10: "a nowhere", 11: ""}
+    docs, bench = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for least in (1, 2, 3, 4):
+        want = {}
+        for (i, t), (k, q) in itertools.product(texts.items(), items.items()):
+            t, q, best = t.split(), q.split(), None
+            for s, j in itertools.product(range(len(q)), range(len(t))):
+                n = 0
+                while s + n < len(q) and j + n < len(t) and q[s + n] == t[j + n]:
+                    n += 1
+                if n >= min(least, len(q)) and (best is None or (-n, j, s) < best):
+                    best = (-n, j, s)
+            if best:
+                want[i, k] = best
+        for size in (1 << 20, 10):
+            got = {(r.doc_id, r.item_id): (-r.match_words, r.doc_word, r.item_word) for r in decontaminate.contaminated(docs, bench, least, size).collect()}
+            assert got == want
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(docs, bench, 0)
+
+
+def test_one_suffix_array_for_all_passes(spark, monkeypatch):
+    made = []
+    shard = decontaminate.Shard
+    monkeypatch.setattr(decontaminate, "Shard", lambda *x: made.append(1) or shard(*x))
+    bench = spark.createDataFrame([(i, f"item {i} has these words") for i in range(8)], "item_id long, text string")
+    paths, longest = decontaminate.store(bench, 40)
+    assert len(paths) > 2
+    found = list(decontaminate.matches(pa.array(["x item 3 has these words", "item 5 has these words"]), paths, longest, 13))
+    assert len(made) == 1 and sorted((int(r), ids[i].as_py()) for ids, rows, items, *_ in found for r, i in zip(rows, items)) == [(0, 3), (1, 5)]
+
+
+# --- Packing -----------------------------------------------------------------------------------------------------------
+
+
+def test_packed_rows_are_the_bins_of_their_groups(spark):
+    """The whole query against the bins of each group's lengths, and every token once."""
+    random.seed(22)
+    docs = spark.createDataFrame([(i, "word " * random.randint(0, 90)) for i in range(300)], "doc_id long, text string")
+    made = packing.packed(docs, capacity=64, group=40).toPandas()
+    from strandline.llm import bpe
+
+    want = {r.doc_id: n + 1 for r in docs.collect() if (n := len(bpe.load().encoding.encode_ordinary(r.text)))}
+    assert made.groupby("doc_id").tokens.sum().to_dict() == want
+    assert made.pack.nunique() > 4
+    for _, x in made.groupby("pack"):
+        x = x.sort_values(["doc_id", "piece"])
+        bins, start = packing.bins(x.tokens.to_numpy(), 64)
+        assert bins.tolist() == x.bin.tolist() and start.tolist() == x.start.tolist()
