@@ -25,13 +25,12 @@ from strandline.llm import bpe, core
 CUTOFF = 5
 #: Grams in one part of the stored table, about.
 PART = 4_000_000
-#: Distinct triples that a task counts at once.
-COUNTED = 4_000_000
-_ROW_BITS, _BITS = 16, 17
+#: Triples that a task counts at once, and grams that it packs at once.
+COUNTED, PACKED = 8_000_000, 500_000
+_ROW_BITS, _BITS = 13, 17
 _MASK = (1 << _BITS) - 1
 #: Codes: u, v, w of a triple one after the other; the marks tell the weight of the context u, v and the pair v, w.
 CONTEXT, PAIR = 1 << 52, 1 << 53
-_MIX = 1_000_003
 
 
 @dataclass(frozen=True)
@@ -122,26 +121,21 @@ def train(docs: DataFrame, tokenizer: str = bpe.PATH, cutoff: int = CUTOFF) -> M
     spark = docs.sparkSession
 
     def count(batches):
-        coder, codes, counts = bpe.load(tokenizer), [], []
+        coder, held = bpe.load(tokenizer), []
 
-        def merged():
-            c, which = np.unique(np.concatenate(codes), return_inverse=True)
-            return c, np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
+        def counted():
+            codes = np.sort(np.concatenate(held))
+            head = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(codes[head]), pa.array(np.diff(np.append(head, len(codes))))], ["code", "n"])
 
         for batch in batches:
             for _, _, data, offs in core.chunks(batch["text"]):
-                c, n = np.unique(events(*coder.encode(data, offs), coder.end)[0], return_counts=True)
-                codes.append(c)
-                counts.append(n)
-                if sum(map(len, codes)) > COUNTED:
-                    c, n = merged()
-                    codes, counts = [c], [n]
-                    if len(c) > COUNTED // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["code", "n"])
-                        codes, counts = [], []
-        if codes:
-            c, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], ["code", "n"])
+                if held and sum(map(len, held)) > COUNTED:
+                    yield counted()
+                    held = []
+                held.append(events(*coder.encode(data, offs), coder.end)[0])
+        if held and sum(map(len, held)):
+            yield counted()
 
     counted = core.ids_only(docs, "doc_id", "text").select("text").mapInArrow(core.tidy(count), "code long, n long")
     triples = core.written(counted.groupBy("code").agg(F.sum("n").alias("n")))
@@ -247,11 +241,14 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
     """
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A middle token that has more than a bucket's share is dealt to several by the last token.
-    shares = (1 + model.counts * buckets // max(1, int(model.counts.sum()))).astype(np.int64)
+    # A middle token that has more than an eighth of a bucket's share is dealt to several by the last token.
+    shares = (1 + 8 * model.counts * buckets // max(1, int(model.counts.sum()))).astype(np.uint64)
+
+    def cell(v, salt):
+        return (core.mix(v.astype(np.uint64) << np.uint64(32) | salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
     def bucket_of(v, w):
-        return (v * _MIX + (w * 7919 % shares[v]) * 104_729) % buckets
+        return cell(v, core.mix(w.astype(np.uint64)) % shares[v])
 
     def post(batches):
         coder, task, number = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
@@ -264,10 +261,10 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
                         continue
                     some = np.unique(row)
                     tokens = np.bincount(row, minlength=hi - lo)[some]
-                    order = np.argsort(code, kind="stable")
-                    code, row = code[order], row[order]
-                    entry = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
-                    n, row, code = np.diff(np.append(entry, len(code))), row[entry], code[entry]
+                    both = np.sort(code.view(np.uint64) << np.uint64(_ROW_BITS) | row.astype(np.uint64))
+                    entry = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+                    n, both = np.diff(np.append(entry, len(both))), both[entry]
+                    row, code = (both & np.uint64((1 << _ROW_BITS) - 1)).astype(np.int64), (both >> np.uint64(_ROW_BITS)).astype(np.int64)
                     head = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
                     size, code = np.diff(np.append(head, len(code))), code[head]
                     v, w = code >> _BITS & _MASK, code & _MASK
@@ -288,22 +285,38 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
                     listed = lambda xs, kind: pa.array([xs] + [None] * (rows - 1), pa.list_(kind))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(to, pa.int32()), pa.array([1] * rows, pa.int8()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.array([task << 32 | number] * rows, pa.int64()),
+                            pa.array(to, pa.int32()), pa.array([1] * rows, pa.int8()), pa.array([task << 32 | number] * rows, pa.int64()),
                             pa.array(blobs, pa.binary()), listed(batch["doc_id"].slice(lo, hi - lo).take(pa.array(some)).to_pylist(), pa.int64()), listed(tokens.tolist(), pa.int64()), listed(some.tolist(), pa.int32()),
                         ],
-                        ["bucket", "kind", "code", "value", "chunk", "blob", "ids", "tokens", "rows"],
+                        ["bucket", "kind", "chunk", "blob", "ids", "tokens", "rows"],
                     )
                     number += 1
 
     def spread(batches):
-        """The model's rows with their buckets; a context's weight goes to all of its middle token's."""
+        """The model's rows by buckets, many in one blob; a context's weight goes to all of its middle token's."""
+
+        def packed(parts):
+            bucket, code, value = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(bucket, kind="stable")
+            bucket, code, value = bucket[order], code[order], value[order]
+            used = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            blobs = [_pack(code[i:j], value[i:j]) for i, j in zip(used.tolist(), [*used[1:].tolist(), len(bucket)])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[used].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        parts, held = [], 0
         for batch in batches:
             v, w = batch["v"].to_numpy(), batch["w"].to_numpy()
-            many = np.where(w < 0, shares[v], 1)
+            many = np.where(w < 0, shares[v], 1).astype(np.int64)
             of = np.repeat(np.arange(len(v)), many)
             salt = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-            bucket = np.where(w[of] < 0, (v[of] * np.int64(_MIX) + salt * 104_729) % buckets, bucket_of(v[of].astype(np.int64), w[of].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), batch["code"].take(pa.array(of)), batch["value"].take(pa.array(of))], ["bucket", "code", "value"])
+            bucket = np.where(w[of] < 0, cell(v[of], salt), bucket_of(v[of], np.maximum(w[of], 0)))
+            parts.append((bucket, batch["code"].to_numpy()[of], batch["value"].to_numpy()[of]))
+            held += len(of)
+            if held > PACKED + 50 * buckets:
+                yield packed(parts)
+                parts, held = [], 0
+        if held:
+            yield packed(parts)
 
     with np.errstate(divide="ignore"):
         log_unigram, log_backoff = np.log(model.unigram), np.log(model.backoff)
@@ -319,7 +332,7 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
                     now, parts, keys = bucket[i], [], None
                 part = batch.slice(i, j - i)
                 if kind[i] == 0:
-                    parts.append((part["code"].to_numpy(), part["value"].to_numpy()))
+                    parts += [_unpack(x.as_py(), np.int64, np.float64) for x in part["blob"]]
                     continue
                 if keys is None:
                     keys, values = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0))
@@ -349,9 +362,9 @@ def scored(docs: DataFrame, model: Model, tokenizer: str = bpe.PATH) -> DataFram
         total = total[rows]
         return pa.table({"doc_id": flat("ids"), "tokens": tokens, "logprob": total, "perplexity": np.exp(-total / tokens)})
 
-    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(post), "bucket int, kind byte, code long, value double, chunk long, blob binary, ids array<long>, tokens array<long>, rows array<int>")
-    grams = model.grams.select("code", "value", "v", "w").mapInArrow(core.tidy(spread), "bucket int, code long, value double")
-    grams = grams.select("bucket", F.lit(0).cast("byte").alias("kind"), "code", "value", *(F.lit(None).cast(t).alias(c) for c, t in (("chunk", "long"), ("blob", "binary"), ("ids", "array<long>"), ("tokens", "array<long>"), ("rows", "array<int>"))))
+    posts = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(post), "bucket int, kind byte, chunk long, blob binary, ids array<long>, tokens array<long>, rows array<int>")
+    grams = model.grams.select("code", "value", "v", "w").mapInArrow(core.tidy(spread), "bucket int, blob binary")
+    grams = grams.select("bucket", F.lit(0).cast("byte").alias("kind"), F.lit(None).cast("long").alias("chunk"), "blob", *(F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("tokens", "array<long>"), ("rows", "array<int>"))))
     met = grams.unionByName(posts).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     looked = met.mapInArrow(core.tidy(look_up), "chunk long, sums binary, ids array<long>, tokens array<long>, rows array<int>")
     return looked.groupBy("chunk").applyInArrow(gather, "doc_id long, tokens long, logprob double, perplexity double").withColumn("tokens", F.col("tokens").cast("int"))
