@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.time import interval_micros, micros
+from strandline.operators import ordered
 
 
 def schedule(events: DataFrame, key: str, max_delay: str = "30 minutes", speedup: float = 10_000.0) -> DataFrame:
@@ -20,14 +21,20 @@ def schedule(events: DataFrame, key: str, max_delay: str = "30 minutes", speedup
 def lateness(scheduled: DataFrame, key: str, out_of_orderness: str = "30 minutes", shard: str | None = None) -> DataFrame:
     """scheduled with watermark_us (the newest event that arrived before, less the bound and 1), behind_us (how far behind that newest event), is_late (before the watermark).
 
-    With a shard column each shard has a progress of its own, as each source partition has; without one, all rows have one order, which
-    is for tables that fit one task.
+    With a shard column each shard has a progress of its own, as each source partition has; without one, all rows have one order, which is cut
+    into ranges: each has the newest event of those before it, and an order of its own.
     """
-    part = Window.partitionBy(shard) if shard else Window.partitionBy(F.lit(0))
-    before = part.orderBy("arrival_us", key).rowsBetween(Window.unboundedPreceding, -1)
-    t, newest = micros(F.col("ts")), F.max(micros(F.col("ts"))).over(before)
+    t, order = micros(F.col("ts")), ("arrival_us", key)
+    if shard:
+        rows, newest = scheduled, F.max(t).over(Window.partitionBy(shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        rows = ordered.ranged(scheduled, *order)
+        rows = rows.join(F.broadcast(ordered.before(rows, F.max(t), max)), "range_number")
+        newest = F.greatest(F.max(t).over(ordered.inside(*order).rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    rows = rows.withColumn("newest_us", newest)
+    newest = F.col("newest_us")
     mark = newest - interval_micros(out_of_orderness) - 1
-    return scheduled.withColumns({"watermark_us": mark, "behind_us": F.greatest(F.lit(0), newest - t), "is_late": F.coalesce(t < mark, F.lit(False))})
+    return rows.withColumns({"watermark_us": mark, "behind_us": F.greatest(F.lit(0), newest - t), "is_late": F.coalesce(t < mark, F.lit(False))}).drop("range_number", "before", "newest_us")
 
 
 def progress(late: DataFrame, every: str = "1 day") -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
 from strandline.storage import cut
 
 
@@ -88,5 +89,8 @@ def descendants(comments: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def arrival_windows(comments: DataFrame, size: int) -> DataFrame:
-    """A count window over all rows in order of time: the number of the window that each row falls in. The order is global, so this is for small tables."""
-    return comments.withColumn("count_window", F.floor((F.row_number().over(Window.orderBy("ts", "comment_id")) - 1) / size))
+    """A count window over all rows in order of time: the number of the window that each row falls in. Ranges of the order are counted first, so that no task has all rows."""
+    rows = ordered.ranged(comments, "ts", "comment_id")
+    rows = rows.join(F.broadcast(ordered.before(rows, F.count("*"), lambda a, b: a + b)), "range_number")
+    nth = F.row_number().over(ordered.inside("ts", "comment_id")) + F.coalesce("before", F.lit(0)) - 1
+    return rows.withColumn("count_window", F.floor(nth / size)).drop("range_number", "before")

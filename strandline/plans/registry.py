@@ -41,9 +41,9 @@ COUNTS = """count(*) FILTER (event_type = 'Comment') AS comment_count, count(*)
   count(*) FILTER (event_type = 'Like') AS like_count, count(DISTINCT CASE WHEN event_type <> 'Post' THEN person_id END) AS distinct_users, bool_or(event_type = 'Post') AS new_post"""
 STATS = f"""st AS (SELECT post_id, make_timestamp(e) AS window_end, {COUNTS}
   FROM (SELECT *, (epoch_us(ts) // 1800000000 - i) * 1800000000 + 43200000000 AS e FROM fe, range(24) r(i)) GROUP BY post_id, e)"""
-POSTS = """po AS (SELECT doc_id AS post_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) AS forum_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS content,
-  CASE WHEN doc_id % 5 = 0 THEN 'img' || doc_id END AS image_file, [CAST(doc_id % 7 AS INTEGER), CAST(doc_id % 3 AS INTEGER)] AS tags FROM documents WHERE doc_id % 3 <> 0)"""
-FORUMS = "fo AS (SELECT CAST(n_nationkey AS BIGINT) AS forum_id, n_name AS title FROM nation WHERE n_nationkey < 15)"
+POSTS = """po AS (SELECT doc_id * 3 AS post_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS BIGINT) + CASE WHEN doc_id % 4 = 0 THEN 100 ELSE 0 END AS forum_id, CASE WHEN doc_id % 5 <> 0 THEN text END AS content,
+  CASE WHEN doc_id % 5 = 0 THEN 'img' || doc_id END AS image_file, [CAST(doc_id % 7 AS INTEGER), CAST(doc_id % 3 AS INTEGER)] AS tags FROM documents)"""
+FORUMS = "fo AS (SELECT CAST(n_nationkey AS BIGINT) AS forum_id, n_name AS title FROM nation)"
 INFO = """info AS (SELECT post_id, po.forum_id, coalesce(title, '<unknown forum>') AS forum_title, coalesce(content, '') AS content, coalesce(image_file, '') AS image_file FROM po LEFT JOIN fo ON po.forum_id = fo.forum_id)"""
 COMMENTS = """co AS (SELECT conv_id * 1000 + turn AS comment_id, CASE WHEN turn = 0 THEN conv_id END AS reply_to_post_id,
   CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS reply_to_comment_id, turn * 1000 - CASE WHEN (conv_id * 7 + turn * 13) % 5 = 0 THEN 1500 ELSE 0 END AS ts, role, text FROM conversations)"""
@@ -208,10 +208,12 @@ def reply_descendants(spark, d):
     return replies.descendants(c, c.where("reply_to_post_id is not null"))
 
 
-@query("pre_resolve_lookup", f"WITH {COMMENTS}, ma AS (SELECT comment_id, comment_id // 1000 AS post_id FROM co WHERE comment_id % 2 = 0) SELECT co.comment_id, coalesce(reply_to_post_id, ma.post_id, -1) AS post_id, coalesce(reply_to_post_id, ma.post_id) IS NOT NULL AS resolved FROM co LEFT JOIN ma ON co.reply_to_comment_id = ma.comment_id")
+@query("pre_resolve_lookup", f"WITH {COMMENTS}, ma AS (SELECT comment_id + CASE WHEN comment_id % 2 = 0 THEN 0 ELSE 500 END AS comment_id, comment_id // 1000 AS post_id FROM co) SELECT co.comment_id, coalesce(reply_to_post_id, ma.post_id, -1) AS post_id, coalesce(reply_to_post_id, ma.post_id) IS NOT NULL AS resolved FROM co LEFT JOIN ma ON co.reply_to_comment_id = ma.comment_id")
 def pre_resolve_lookup(spark, d):
     c = T.comments(spark, d)
-    return replies.look_up(c, c.where("comment_id % 2 = 0").select("comment_id", F.floor(F.col("comment_id") / 1000).alias("post_id"))).fillna(-1, ["post_id"])
+    """The mapping has all comments, half of them under ids that no reply names."""
+    name = F.col("comment_id") + F.when(F.col("comment_id") % 2 == 0, 0).otherwise(500)
+    return replies.look_up(c, c.select(name.alias("comment_id"), F.floor(F.col("comment_id") / 1000).alias("post_id"))).fillna(-1, ["post_id"])
 
 
 @query(
@@ -358,7 +360,7 @@ def signature_base64(spark, d):
 @query("inclusion_probability", f"SELECT s AS similarity, round(1 - pow(1 - pow(s, {_ROWS}), {_BANDS}), 9) AS probability FROM (SELECT unnest([0.01, 0.02, 0.05, 0.1, 0.2, 0.5])::DOUBLE AS s)")
 def inclusion_probability(spark, d):
     rows = spark.createDataFrame([(x,) for x in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5)], "similarity double")
-    return rows.select("similarity", F.round(1 - F.pow(1 - F.pow("similarity", F.lit(_ROWS)), F.lit(_BANDS)), 9).alias("probability"))
+    return rows.select("similarity", F.round(lsh.inclusion_probability(F.col("similarity"), HASHES, THRESHOLD), 9).alias("probability"))
 
 
 # --- Unusual activity --------------------------------------------------------------------------------------------------

@@ -29,23 +29,20 @@ def forum_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of three documents as posts; every fifth has an image and no content."""
-    image = F.col("doc_id") % 5 == 0
-    return (
-        read(spark, sf_dir, "documents")
-        .where("doc_id % 3 <> 0")
-        .select(
-            F.col("doc_id").alias("post_id"),
-            F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("forum_id"),
-            F.when(~image, F.col("text")).alias("content"),
-            F.when(image, F.concat(F.lit("img"), F.col("doc_id").cast("string"))).alias("image_file"),
-            F.array((F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 3).cast("int")).alias("tags"),
-        )
+    """Documents as posts; every fifth has an image and no content. Post ids are three times those of documents, so that events name posts that aren't there,
+    and every fourth post is in a forum that isn't there."""
+    image, forum = F.col("doc_id") % 5 == 0, F.regexp_extract("source", r"(\d+)$", 1).cast("long")
+    return read(spark, sf_dir, "documents").select(
+        (F.col("doc_id") * 3).alias("post_id"),
+        F.when(F.col("doc_id") % 4 == 0, forum + 100).otherwise(forum).alias("forum_id"),
+        F.when(~image, F.col("text")).alias("content"),
+        F.when(image, F.concat(F.lit("img"), F.col("doc_id").cast("string"))).alias("image_file"),
+        F.array((F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 3).cast("int")).alias("tags"),
     )
 
 
 def forums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "nation").where("n_nationkey < 15").select(F.col("n_nationkey").cast("long").alias("forum_id"), F.col("n_name").alias("title"))
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("forum_id"), F.col("n_name").alias("title"))
 
 
 def forum_tags(spark: SparkSession, sf_dir: str) -> DataFrame:

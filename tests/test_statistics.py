@@ -1,4 +1,5 @@
-import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,10 +43,52 @@ def test_author_counts_on_demand(spark):
         assert {r.distinct_users for r in operator(one, count_author=True).collect()} == {1}
 
 
-def test_anchor_moves_after_sleep():
-    assert statistics.anchors(np.array([0, 5, 14, 40, 52]), 10, 5).tolist() == [5, 5, 5, 45, 45]
-    assert statistics.anchors(np.array([0, 15]), 10, 5).tolist() == [5, 5]
-    assert statistics.anchors(np.array([0, 16]), 10, 5).tolist() == [5, 21]
+def anchors_by_hand(times, size, step):
+    out, anchor, last = [], None, None
+    for now in sorted(times):
+        if anchor is None or now > anchor + step * ((last + size - anchor) // step + 1):
+            anchor = now + step
+        out.append(anchor)
+        last = now
+    return out
+
+
+def test_anchor_moves_after_sleep(spark):
+    assert anchors_by_hand([0, 5, 14, 40, 52], 10, 5) == [5, 5, 5, 45, 45]
+    random.seed(1)
+    posts = {1: [0, 5, 14, 40, 52], 2: [0, 15], 3: [0, 16]} | {i: [random.randrange(400) for _ in range(random.randint(1, 40))] for i in range(4, 60)}
+    df = spark.createDataFrame([(i, t) for i, ts in posts.items() for t in ts], "post_id long, t long")
+    for r in statistics.anchors(df, 10, 5).collect():
+        known = [max((a for a in r.anchors if a[0] <= t), key=lambda a: a[0])[1] for t in sorted(posts[r.post_id])]
+        assert known == anchors_by_hand(posts[r.post_id], 10, 5)
+
+
+@pytest.mark.parametrize("author", [False, True])
+def test_windows_against_every_event(spark, author):
+    random.seed(2)
+    rows = [(random.choice(["Post", "Comment", "Reply", "Like"]), random.choice([1, 1, 1, 2, 3]), random.randrange(6), random.randrange(300) ** 2 // 30) for _ in range(400)]
+    df = spark.createDataFrame(rows, "event_type string, post_id long, person_id long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    size, step = 60, 20
+
+    def counted(of, end):
+        now = [(k, u) for k, _, u, t in of if end - size <= t < end]
+        users = {u for k, u in now if author or k != "Post"}
+        return (*(sum(k == x for k, _ in now) for x in ("Comment", "Reply", "Like")), len(users), any(k == "Post" for k, _ in now)) if now else None
+
+    want, apart = {}, {}
+    for p in (1, 2, 3):
+        of = [r for r in rows if r[1] == p]
+        for end in range(0, 4000, step):
+            if x := counted(of, end):
+                want[p, end] = x
+        times = sorted(r[3] for r in of)
+        for t, a in zip(times, anchors_by_hand(times, size, step)):
+            for i in range((t - a) // step + 1, (t - a) // step + size // step + 1):
+                apart[p, a + i * step] = counted(of, a + i * step)
+    text = f"{size} milliseconds", f"{step} milliseconds"
+    for operator, right in ((statistics.aligned, want), (statistics.by_panes, want), (statistics.anchored, apart)):
+        got = operator(df, *text, count_author=author).select("post_id", F.unix_millis("window_end"), *statistics.SUMS, "distinct_users", "new_post").collect()
+        assert {(r[0], r[1]): tuple(r[2:]) for r in got} == right and len(got) == len(right)
 
 
 def test_window_must_be_a_multiple(events):
