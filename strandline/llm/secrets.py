@@ -17,6 +17,7 @@ from strandline.llm.automaton import SEPARATOR, Automaton
 RULES = {
     "assigned_token": r"""(?i)\b(?:api[_-]?key|secret|(?:access_|auth_)?token)[ \t]*[:=][ \t]*["'][0-9a-z_]{16,}["']""",
     "aws_access_key_id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "aws_secret_key": r"""(?i)\baws_secret_access_key[ \t]*[:=][ \t]*["']?[0-9a-z_]{40}\b""",
     "bearer_token": r"(?i)\bbearer [0-9a-z_]{20,}",
     "github_token": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
     "gitlab_token": r"\bglpat-[0-9A-Za-z_]{20}\b",
@@ -33,11 +34,16 @@ RULES = {
 #: Rule -> (anchor, expression). The anchor is what any match begins with, without counted classes, so that the automaton stays small; the expression,
 #: over bytes, has the secret's real alphabet. A value in quotes ends at its own quote, on its line; one without at a space or what closes it.
 _NAME, _VALUE = r"(?:api[_-]?key|secret|(?:access_|auth_)?token)", r"(?:password|passwd|pwd)"
+_AWS = r"(?:aws_?)?secret_?(?:access_?)?key"
 _IS = r"""["']?[ \t]*[:=][ \t]*"""
 _LABEL = r"(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?"
 WHOLE = {
-    "assigned_token": (rf"""(?i)\b{_NAME}{_IS}["']""", rf"""(?i)\b{_NAME}{_IS}(?:"[!#-~]{{16,}}"|'[!-&(-~]{{16,}}')"""),
+    "assigned_token": (
+        rf"""(?i){_NAME}{_IS}""",
+        rf"""(?i)(?<![0-9a-z])(?:[0-9a-z]+[_-]){{0,4}}?{_NAME}{_IS}(?:"[!#-~]{{16,}}"|'[!-&(-~]{{16,}}'|(?=[^\s"']{{0,200}}[0-9])(?=[^\s"']{{0,200}}[a-z])[0-9a-z_.~+/-]{{19,}}[0-9a-z_~+/-]=*)""",
+    ),
     "aws_access_key_id": (r"\b(?:AKIA|ASIA)", RULES["aws_access_key_id"]),
+    "aws_secret_key": (rf"(?i){_AWS}{_IS}", rf"""(?i)(?<![0-9a-z]){_AWS}{_IS}["']?[0-9a-z/+_]{{40}}(?![0-9a-z/+=_])"""),
     "bearer_token": (r"(?i)\bbearer ", r"(?i)\bbearer [0-9a-z_.~+/-]{19,}[0-9a-z_~+/-]=*"),
     "github_token": (r"\b(?:gh[pousr]|github_pat)_", r"\bgh[pousr]_[0-9A-Za-z]{36}\b|\bgithub_pat_[0-9A-Za-z_]{22,}"),
     "gitlab_token": (r"\bglpat-", r"\bglpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z_])"),
@@ -76,8 +82,8 @@ def spans(text: bytes, rules: set[int], compiled: list[re.Pattern]) -> list[tupl
 def findings(docs: DataFrame, rules: dict[str, tuple[str, str]] = WHOLE) -> DataFrame:
     """(doc_id, rule, nth, secret_md5, n_chars) of every secret; nth counts from 1 in each row and rule.
 
-    Null and empty texts have none; repeated rows are each listed; rules are independent, so that a span may be found by
-    two. The secret itself is not passed on. Other columns are not read.
+    Null and empty texts have none, nor has an empty table; a text of any length is scanned whole; repeated rows are each listed; rules are independent, so that a
+    span may be found by two; of matches that begin at one place the rule's leftmost and longest counts. The secret itself is not passed on. Other columns are not read.
     """
     names, automaton = list(rules), Automaton([anchor for anchor, _ in rules.values()])
 
@@ -99,7 +105,7 @@ def redacted(docs: DataFrame, rules: dict[str, tuple[str, str]] = WHOLE) -> Data
     """docs with every secret in text replaced by [secret]; spans that overlap or touch become one mark.
 
     All rows and columns stay; n_chars, if there is such a column, counts the new text's characters where it changed. Null and
-    empty texts stay as they are.
+    empty texts stay as they are, an empty table stays empty; a text of any length is redacted whole.
     """
     core.ship(docs.sparkSession)
     automaton = Automaton([anchor for anchor, _ in rules.values()])
