@@ -31,6 +31,21 @@ def test_toxicity_is_held_against_length(spark):
     assert set(range(0, 400, 5)) | {1001} <= found and not found & {1000, 1002}
     assert {r.doc_id for r in toxicity.rejected(docs).collect()} == {1001}
 
+def test_learned_on_half_judged_on_the_other(spark):
+    """Precision and recall on labels that it didn't learn from. Some rows labelled as toxic are repeated or rearranged filler without any insult; those can't be found."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, half = core.read(spark, sf, "documents"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
+    labels = core.read(spark, sf, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = toxicity.rejected(docs, labels.where(half == 0)).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    rows = docs.select("doc_id", "lang").join(labels.where(half == 1), "doc_id").join(found, "doc_id", "left").groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.count("hit").alias("hit")).collect()
+    toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
+    assert sum(r.hit for r in toxic) >= 0.9 * sum(r.n for r in toxic)
+    assert sum(r.hit for r in clean) <= 0.01 * sum(r.n for r in clean) and all(r.hit <= max(1, 0.02 * r.n) for r in clean)
+    assert all(r.hit >= 0.7 * r.n for r in toxic)
+
+
 def test_threshold_loses_few_of_each_language_and_length():
     clean = [dict(lang="aa", toxic=False, length=100, score=0.0)] * 900 + [dict(lang="bb", toxic=False, length=3000, score=2.0)] * 30
     rows = clean + [dict(lang="aa", toxic=True, length=100, score=3.0)] * 50
@@ -39,6 +54,17 @@ def test_threshold_loses_few_of_each_language_and_length():
     assert toxicity.choose([]) == (toxicity.THRESHOLD, toxicity.SPAN)
 
 
+@pytest.mark.parametrize("text,lang,score", [
+    ("you aren't an idiot", "en", 0), ("We beat them in chess", "en", 0), ("we will beat you", "en", 2.0), ("my dog ate trash", "en", 0), ("you are trash", "en", 1.5), ("you clown", "en", 1.5), ("they are such a pathetic lot", "en", 1.5),
+    ("nobody thinks you are an idiot", "en", 0), ("I don't think you are an idiot", "en", 0), ("I hope you die", "en", 2.0), ("I do not hope you die", "en", 0), ("he said I hope you die", "en", 0), ("they die", "en", 0),
+    ("sin of an idiot", "en", 1.0), ("sin idiota imbécil", "es", 0), ("sin imbécil", "en", 0), ("el dice imbécil", "es", 0.3), ("die idiot", "de", 1.0), ("ich hoffe die du", "de", 0), ("the stupid printer", "en", 0), ("he is stupid", "en-GB", 1.5),
+    ("not today you idiot", "en", 1.5), ("you are not such an idiot", "en", 0), ("niemand ist ein idiot", "de", 0), ("du bist abschaum", "de", 1.5), ("eres basura", "es", 0), ("tú eres basura", "es", 1.5), ("vous êtes une ordure", "fr", 1.5),
+])
+def test_clauses_by_language(text, lang, score):
+    total, _ = toxicity.scores(pa.array([text, None, text]), toxicity.grammar(), pa.array([lang, None, lang.upper()]))
+    assert total.tolist() == pytest.approx([score, 0, score])
+
+
 @pytest.mark.parametrize("text,score", [
     ("They aren't idiots", 0.0), ("you isn\u2019t an idiot", 0.0), ("don't, idiot", 0.0), ("I won't kill you", 0.0), ("that wasn't a moron.", 0.0), ("CAN'T be scum", 0.0),
     ("i'll kill you", 2.0), ("we\u2019ll kill you", 2.0), ("the plan 't idiot", 1.0), ("a 'n't idiot", 1.0), ("isn't it so, you idiot", 1.5), ("can'tankerous idiot", 1.0),
@@ -72,7 +98,7 @@ def test_whole_rules_find_what_the_sql_finds():
             for m in re.finditer(narrow, text):
                 anchor, whole = secrets.WHOLE[rule]
                 assert re.search(anchor, text) and any(w.start() <= m.start() and m.end() <= w.end() for w in re.finditer(whole, text))
-    plain = "keys of glpat-short, AIza, https://host:80/a@b, password: no, a -----BEGIN CERTIFICATE----- line"
+    plain = "the token: the-quick-brown-fox-jumps-over, api_key = short, keys of glpat-short, AIza, https://host:80/a@b, password: no, a -----BEGIN CERTIFICATE----- line"
     compiled = [re.compile(p.encode()) for _, p in secrets.WHOLE.values()]
     assert not secrets.spans(plain.encode(), set(range(len(compiled))), compiled)
 
