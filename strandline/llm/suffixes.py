@@ -19,8 +19,9 @@ from strandline.llm import core
 
 #: Words of a passage at least, and words that a retained suffix is first compared by.
 MIN_WORDS, KEY_WORDS = 50, 8
-#: Suffixes of a range of the sorted order, about; ranges are as many as that takes.
-RANGE = 50_000
+#: Suffixes of a range of the sorted order, about; ranges are as many as that takes. Suffixes of a range that the borders are drawn from, which the driver gets.
+RANGE, DRAWN = 50_000, 10
+_DRAWN = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
 
 
 def minimisers(h: np.ndarray, row: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +224,12 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, key_words: int = KEY_W
         at = l.astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(around[s]), pa.array(at), pa.array(at), pa.array(lo), pa.array(hi), pa.array(core.signed(window_hashes(words, s, l, min_words)))], names)
 
-    compared = core.written(array.repartitionByRange(ranges, "words").sortWithinPartitions("words").mapInArrow(core.tidy(compare), "around long, first int, last int, least long, most long, window long"))
+    before = spark.conf.get(_DRAWN)
+    spark.conf.set(_DRAWN, DRAWN)
+    try:
+        compared = core.written(array.repartitionByRange(ranges, "words").sortWithinPartitions("words").mapInArrow(core.tidy(compare), "around long, first int, last int, least long, most long, window long"))
+    finally:
+        spark.conf.set(_DRAWN, before)
     border = compared.where("window is not null")
     met = border.groupBy("window").agg(F.min("least").alias("owner"), F.max("most").alias("other")).where("owner < other").select(F.col("window").alias("met"), "owner")
     runs = compared.where("window is null").select("around", "first", "last", F.col("least").alias("owner")).unionByName(border.join(met, F.col("window") == F.col("met")).select("around", "first", "last", "owner"))
