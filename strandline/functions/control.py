@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +27,19 @@ def parameters(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def errors(lines: DataFrame, line: str = "line") -> DataFrame:
     return parsed(lines, line).where("error is not null").select("line", "error")
+
+
+def read(lines: Iterable[str]) -> dict[str, str]:
+    """The parameters of lines at hand, as parameters() gives them; of several of a key the last counts."""
+    out = {}
+    for line in lines:
+        low = line.partition("#")[0].strip().lower()
+        if match := re.match(_LINE, low):
+            key, value = re.sub(r"\s", "", match[1]), match[2]
+            try:
+                if key in ("k", "decay"):
+                    (int if key == "k" else float)(value)
+            except ValueError:
+                continue
+            out[key] = value
+    return out

@@ -57,3 +57,8 @@ def format_duration(ms: int) -> str:
     hours, minutes = divmod(minutes, 60)
     days, hours = divmod(hours, 24)
     return f"{sign}{days}d {hours:02}:{minutes:02}:{seconds:02}.{ms:03}"
+
+
+def format_timestamp(ts: Column) -> Column:
+    """"2012-02-02 01:09:00.000"."""
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")

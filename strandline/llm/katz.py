@@ -23,8 +23,8 @@ from strandline.llm import bpe, core
 
 #: Counts up to this are discounted.
 CUTOFF = 5
-#: Grams in one part of the stored table, about.
-PART = 4_000_000
+#: Grams in one part of the stored table, about; parts are at most as many as shuffle partitions.
+PART = 500_000
 #: Triples that a task counts at once, and grams that it packs at once.
 COUNTED, PACKED = 8_000_000, 500_000
 _ROW_BITS, _BITS = 13, 17
@@ -182,10 +182,10 @@ def train(docs: DataFrame, tokenizer: str = bpe.PATH, cutoff: int = CUTOFF) -> M
         ).alias("x")
     ).select("x.*")
     rows = rows.unionByName(second.select((F.shiftleft(F.col("v").cast("long"), _BITS) + F.col("w") + F.lit(PAIR)).alias("code"), F.log("p2").alias("value"), "v", "w"))
-    parts = max(1, triples.count() // PART)
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), triples.count() // PART))
     table = rows.withColumn("part", F.pmod(F.hash("v", "w"), F.lit(parts)))
     if parts > 1:
-        table = table.repartition(F.col("part"))
+        table = table.repartitionById(parts, "part")
     return Model(core.written(table, "part"), unigram, backoff, counts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,11 @@ def metadata(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.agg(counted(moved).alias("average_distance"), counted(F.col("weight") - F.col("o_w")).alias("average_weight_difference")).crossJoin(sizes).select("average_distance", "average_weight_difference", (F.col("new_k") - F.col("old_k")).alias("k_difference"))
 
 
+def largest(model: DataFrame, k: int) -> DataFrame:
+    """The k clusters of the largest weight; of equal ones the lower index."""
+    return model.orderBy(F.desc("weight"), "index").limit(k)
+
+
 def moved(old: DataFrame, new: DataFrame) -> DataFrame:
     """(index, difference): how each centroid that both models have moved."""
     return new.join(old.select("index", F.col("centroid").alias("o_c")), "index").select("index", minus(F.col("centroid"), F.col("o_c")).alias("difference"))
@@ -86,7 +92,7 @@ def initial(points: np.ndarray, k: int, seed: int = 137) -> np.ndarray:
 
 
 def resized(centroids: list[tuple[int, np.ndarray, float]], k: int) -> list[tuple[int, np.ndarray, float]]:
-    """k clusters of (index, centroid, weight): the k of the largest weight, or the largest split in two until there are enough."""
+    """k clusters of (index, centroid, weight): the k of the largest weight, or the largest split in two until there are enough. The half above gets a new index."""
     if len(centroids) > k:
         return sorted(centroids, key=lambda c: -c[2])[:k]
     out, turn = list(centroids), 0
@@ -96,32 +102,34 @@ def resized(centroids: list[tuple[int, np.ndarray, float]], k: int) -> list[tupl
         index, centre, weight = out[at]
         shift = 3 * turn * 1e-14 * np.maximum(centre, 1)
         free = max(c[0] for c in out) + 1
-        out[at : at + 1] = [(index, centre + shift, weight / 2), (free, centre - shift, weight / 2)]
+        out[at : at + 1] = [(index, centre - shift, weight / 2), (free, centre + shift, weight / 2)]
     return out
 
 
 def lloyd(points: np.ndarray, centroids: list[tuple[int, np.ndarray, float]], k: int, rounds: int = 1000) -> list[tuple[int, np.ndarray, float]]:
-    """Assigns and averages until no centroid moves. Clusters without points keep their centre at weight 0.
+    """Assigns and averages until no centroid moves. Of equal centroids the last counts; there are k of them in each round.
 
-    As soon as fewer clusters than k have points, the round's result is final.
+    As soon as fewer clusters than k have points, the centroids stay as they are, and those without points have the weight 0.
     """
     if not centroids:
         if not len(points):
             raise ValueError("without points there must be centroids")
         centroids = [(i, c, 0.0) for i, c in enumerate(initial(points, k))]
-    now = resized(centroids, k)
-    if not len(points):
-        return [(i, c, 0.0) for i, c, _ in now]
+    now = centroids
     for _ in range(rounds):
+        now = resized(list({tuple(np.asarray(c).tolist()): (i, c, w) for i, c, w in now}.values()), k)
+        if not len(points):
+            return [(i, c, 0.0) for i, c, _ in now]
         centres = np.array([c for _, c, _ in now], float)
         which = np.argmin(((points[:, None, :] - centres[None, :, :]) ** 2).sum(2), axis=1)
         size = np.bincount(which, minlength=len(now))
-        mean = np.array([points[which == j].mean(0) if size[j] else centres[j] for j in range(len(now))])
-        new = [(now[j][0], mean[j], float(size[j])) for j in range(len(now))]
-        if (size > 0).sum() < k or np.array_equal(mean, centres):
-            return new
-        now = new
-    return now
+        if (size > 0).sum() < k:
+            return [(i, c, float(n)) for (i, c, _), n in zip(now, size)]
+        mean = np.array([points[which == j].mean(0) for j in range(len(now))])
+        now = [(i, m, float(n)) for (i, _, _), m, n in zip(now, mean, size)]
+        if np.array_equal(mean, centres):
+            return now
+    raise ArithmeticError(f"no fixed point in {rounds} rounds")
 
 
 def merge_clusters(old, new, decay: float):
@@ -134,18 +142,23 @@ def merge_clusters(old, new, decay: float):
     return out
 
 
-def lloyd_distributed(points: DataFrame, centroids: list[tuple[int, list[float]]], rounds: int = 50, tolerance: float = 1e-9) -> list[tuple[int, list[float], float]]:
-    """The same on a large table of features: each round is one pass with partial sums for each cluster; only k rows come to the driver."""
+def lloyd_distributed(points: DataFrame, centroids: list[tuple[int, list[float]]], rounds: int = 1000, tolerance: float = 1e-9) -> list[tuple[int, list[float], float]]:
+    """The same on a large table of features, to a fixed point: each round is one pass with partial sums for each cluster; only k rows come to the driver.
+
+    No fixed point in so many rounds is an error. The features are kept between the rounds, on disk where memory is short.
+    """
     spark, now, dims = points.sparkSession, centroids, len(centroids[0][1])
-    weights = {i: 0.0 for i, _ in now}
-    for _ in range(rounds):
-        model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in now], "index int, centroid array<double>")
-        sums = classified(points, model).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(F.col("features")[d]).alias(f"d{d}") for d in range(dims)]).collect()
-        found = {r["cluster"]: ([r[f"d{d}"] for d in range(dims)], float(r["n"])) for r in sums}
-        new = [(i, found.get(i, (c, 0.0))[0]) for i, c in now]
-        weights = {i: found.get(i, (c, 0.0))[1] for i, c in now}
-        shift = max(math.dist(a[1], b[1]) for a, b in zip(now, new))
-        now = new
-        if shift <= tolerance:
-            break
-    return [(i, list(c), weights[i]) for i, c in now]
+    kept = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(rounds):
+            model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in now], "index int, centroid array<double>")
+            sums = classified(kept, model).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(F.col("features")[d]).alias(f"d{d}") for d in range(dims)]).collect()
+            found = {r["cluster"]: ([r[f"d{d}"] for d in range(dims)], float(r["n"])) for r in sums}
+            new = [(i, found.get(i, (c, 0.0))[0]) for i, c in now]
+            shift = max(math.dist(a[1], b[1]) for a, b in zip(now, new))
+            now = new
+            if shift <= tolerance:
+                return [(i, list(c), found.get(i, (c, 0.0))[1]) for i, c in now]
+    finally:
+        kept.unpersist()
+    raise ArithmeticError(f"no fixed point in {rounds} rounds")

@@ -480,7 +480,7 @@ def kmeans_fit(spark, d):
     """k-means over all embeddings from the first vector of each of four hash classes."""
     points = T.read(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), "vec_id")
     first = points.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(4)).cast("int").alias("i")).agg(F.min_by("features", "vec_id").alias("c")).orderBy("i").collect()
-    found = activity.lloyd_distributed(points, [(r.i, r.c) for r in first], 20)
+    found = activity.lloyd_distributed(points, [(r.i, r.c) for r in first])
     return spark.createDataFrame([(i, [float(x) for x in c], w) for i, c, w in found], "index int, centroid array<double>, weight double")
 
 

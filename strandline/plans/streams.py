@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.plans import registry as batch
 from strandline.plans.registry import ntz, query
+from strandline.settings import Settings
 from strandline.sources import tables as T
 from strandline.sources.events import bounded
 from strandline.sources.keyed import KeyedTable
 from strandline.sources.replay import slices
+from strandline.storage import cut
 from strandline.streaming import jobs
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -99,15 +102,51 @@ def stream_reply_tree(spark, d):
     return trees.resolved.read().select("comment_id", "post_id")
 
 
+@query(
+    "stream_reply_dropped",
+    f"""WITH RECURSIVE {batch.COMMENTS}, {batch.TREE} SELECT comment_id, reply_to_comment_id FROM co WHERE comment_id NOT IN (SELECT comment_id FROM tree)""",
+)
+def stream_reply_dropped(spark, d):
+    """The comments that the stream of trees drops once a last comment, later than all by more than its patience, is there."""
+    comments = T.comments(spark, d).select("comment_id", "reply_to_post_id", "reply_to_comment_id", "ts")
+    last = comments.agg(F.lit(MARK).cast("long").alias("comment_id"), F.lit(MARK).cast("long").alias("reply_to_post_id"), F.lit(None).cast("long").alias("reply_to_comment_id"), (F.max("ts") + 10**6 + 1).alias("ts"))
+    comments = comments.unionByName(last).withColumn("_order", F.col("ts").cast("double"))
+    folder = jobs.new_folder(spark)
+    slices(comments, f"{folder}/in", 3, "ts")
+    stream = spark.readStream.schema(comments.drop("_order").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    trees = jobs.ReplyTrees(spark, folder, 10**6)
+    jobs.run(stream, folder, each=trees.batch)
+    return trees.dropped().select("comment_id", "reply_to_comment_id")
+
+
 @query("stream_clusters", None)
 def stream_clusters(spark, d):
     """The models that the activity vectors' stream gives, one for each closed window."""
-    vectors = batch._vectors(spark, d).join(T.forum_events(spark, d).select("event_id", "ts"), "event_id")
+    vectors = batch._vectors(spark, d).join(T.forum_events(spark, d).select("event_id", "ts"), "event_id").select("event_id", "ts", "features")
     folder = jobs.new_folder(spark)
     slices(vectors, f"{folder}/in", 4)
-    stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    jobs.run(stream, folder, each=jobs.Clustering(folder).batch)
-    return spark.read.parquet(f"{folder}/models").select("version", "index", "centroid", "weight")
+    marks = vectors.agg(F.max("ts").alias("ts")).select(F.lit(MARK).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("array<double>").alias("features"))
+    marks.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = bounded(spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    with rocks(spark):
+        out = jobs.cluster_updates(stream, Settings())
+        jobs.run(out, folder)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").where("kind = 'model'").select("version", "index", "centroid", "weight")
+
+
+@query("stream_recommendations", batch.ORACLE["recommendations"])
+def stream_recommendations(spark, d):
+    """The whole job: the activity of persons first, then recommendations for each window that the stream closes."""
+    folder, settings = jobs.new_folder(spark), replace(Settings(), lsh_threshold=batch.THRESHOLD, hashes=batch.HASHES, recommendations=batch.TOP, min_similarity=batch.LEAST)
+    events = replayed(T.forum_events(spark, d), folder)
+    seen = jobs.Activity(spark, f"{folder}/seen", 10_000)
+    jobs.run(events, f"{folder}/seen", each=seen.batch)
+    windows = jobs.posts_in_window(events, batch.WINDOW, batch.SLIDE)
+    posts, persons = (cut(x) for x in (batch._post_features(spark, d), batch._persons(spark, d)))
+    job = jobs.Recommendations(spark, folder, settings, posts, persons, T.acquaintances(spark, d), seen.read)
+    jobs.run(windows, folder, each=job.batch)
+    rows = job.table.read().where(F.col("person_id") != MARK)
+    return ntz(rows.select("person_id", "window_end", F.array_join(F.transform("persons", lambda p: p["person_id"].cast("string")), ",").alias("persons")))
 
 
 @query("upserted_last_activity", f"WITH {batch.FE} SELECT person_id, max(ts) AS last_ts FROM fe GROUP BY 1")

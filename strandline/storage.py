@@ -48,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed now and read from the shared folder from then on."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def read_lines(path: str) -> list[str]:
+    """The lines of a small text file on any file system, also from inside a task; none if it isn't there."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    if system.get_file_info(base).type != fs.FileType.File:
+        return []
+    with system.open_input_stream(base) as f:
+        return f.read().decode("utf-8").splitlines()

@@ -1,4 +1,4 @@
-"""Stateful processors: anchored post statistics, as-of frequency, the adaptive clustering window."""
+"""Stateful processors: anchored post statistics, as-of frequency, the adaptive clustering window with its model."""
 
 from __future__ import annotations
 
@@ -8,17 +8,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
+from strandline.functions import control
 from strandline.operators.activity import lloyd, merge_clusters
+from strandline.storage import read_lines
 
 
 class PostStatistics(StatefulProcessor):
     """Windows anchored at a post's first event, one each slide while the post is awake; the rules of operators.statistics.anchored.
 
     Events stay in state while a window can hold them. A timer at each window's end emits it once the watermark is past; one whose
-    window is empty puts the post to sleep, and later events set a new anchor.
+    window is empty puts the post to sleep, and later events set a new anchor. Events before the open window are dropped. A window's row also
+    tells how many events came since the one before: ahead of the open slide, in it, in an older one of the window, and before the window.
     """
 
-    OUTPUT = "post_id long, window_us long, comment_count long, reply_count long, like_count long, distinct_users long, new_post boolean"
+    OUTPUT = "post_id long, window_us long, comment_count long, reply_count long, like_count long, distinct_users long, new_post boolean, ahead long, current long, older long, dropped long"
 
     def __init__(self, window_us: int, slide_us: int, count_author: bool = False):
         self.window, self.slide, self.count_author = window_us, slide_us, count_author
@@ -27,37 +30,49 @@ class PostStatistics(StatefulProcessor):
         self.handle = handle
         self.events = handle.getListState("events", "t long, kind string, person long")
         self.due = handle.getValueState("due", "t long")
+        self.came = handle.getValueState("came", "ahead long, current long, older long, dropped long")
 
     def _arm(self, t: int) -> None:
         self.due.update((t,))
         self.handle.registerTimer(-(-t // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, due = None, self.due.get()[0] if self.due.exists() else None
+        came = list(self.came.get()) if self.came.exists() else [0, 0, 0, 0]
         for pdf in rows:
             found = list(zip(pdf["t"].astype("int64").tolist(), pdf["event_type"].tolist(), pdf["person_id"].astype("int64").tolist()))
+            if due is not None:
+                for t, _, _ in found:
+                    came[0 if t >= due else 1 if t >= due - self.slide else 2 if t >= due - self.window else 3] += 1
+                found = [x for x in found if x[0] >= due - self.window]
+            else:
+                came[0] += len(found)
             if found:
                 self.events.appendList(found)
                 low = min(x[0] for x in found)
                 first = low if first is None else min(first, low)
-        if first is not None and not self.due.exists():
+        self.came.update(tuple(came))
+        if first is not None and due is None:
             self._arm(first + self.slide)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (due,), mark = self.due.get(), timerValues.getCurrentWatermarkInMs() * 1000
         kept, out = sorted(self.events.get()), []
+        came = self.came.get() if self.came.exists() else (0, 0, 0, 0)
         while due is not None and due <= mark:
             kept = [e for e in kept if e[0] >= due - self.window]
             now = [e for e in kept if e[0] < due]
             if now:
                 kinds = [e[1] for e in now]
                 people = {e[2] for e in now if self.count_author or e[1] != "Post"}
-                out.append((key[0], due, kinds.count("Comment"), kinds.count("Reply"), kinds.count("Like"), len(people), "Post" in kinds))
+                out.append((key[0], due, kinds.count("Comment"), kinds.count("Reply"), kinds.count("Like"), len(people), "Post" in kinds, *came))
+                came = (0, 0, 0, 0)
             if now or any(e[0] == due for e in kept):
                 due += self.slide
             else:
                 due = kept[0][0] + self.slide if kept else None
+        self.came.update(tuple(came))
         if kept:
             self.events.put(kept)
         else:
@@ -102,6 +117,96 @@ class AsOfFrequency(StatefulProcessor):
         pass
 
 
+class ClusterUpdates(StatefulProcessor):
+    """The adaptive window and the clustering model of a stream of points, in the state of one key: a window holds at most so many points.
+
+    Points of a batch are taken in order of time; the watermark closes windows. Each closed window updates the model and gives a row for each cluster, and
+    one row of metadata: how far the centroids moved, how weights and k changed, and how many points came ahead of, inside and behind the window,
+    and whether it fired early (full), regularly or delayed (extended). Parameters are read from the control file at each batch, so that changes count
+    from the next update on. All is in the query's checkpoint: a restarted query goes on where it was.
+    """
+
+    OUTPUT = (
+        "kind string, version long, end_us long, index int, centroid array<double>, weight double, label string, average_distance double, "
+        "average_weight_difference double, k_difference int, points long, firing string, ahead long, inside long, behind long"
+    )
+    NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
+
+    def __init__(self, size_us: int, least: int, most: int, k: int, decay: float, control: str | None = None):
+        self.size, self.least, self.most, self.k, self.decay, self.control = size_us, least, most, k, decay, control
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "end long, extended boolean, ahead long, inside long, behind long")
+        self.points = handle.getListState("points", "features array<double>")
+        self.later = handle.getListState("later", "t long, features array<double>")
+        self.model = handle.getListState("model", "index int, centroid array<double>, weight double")
+        self.version = handle.getValueState("version", "version long")
+
+    def _load(self) -> None:
+        self.now = AdaptiveWindow(self.size, self.least, self.most)
+        self.came = [0, 0, 0]
+        if self.window.exists():
+            end, extended, *came = self.window.get()
+            self.now.end, self.now.extended, self.came = (None if end < 0 else end), extended, came
+        self.now.points = [list(x[0]) for x in self.points.get()] if self.points.exists() else []
+        self.now.later = [(x[0], list(x[1])) for x in self.later.get()] if self.later.exists() else []
+        self.clusters = StreamingClusters(self.k, self.decay)
+        if self.control:
+            self.clusters.configure(control.read(read_lines(self.control)))
+        self.clusters.model = [(i, np.array(c), w) for i, c, w in self.model.get()] if self.model.exists() else []
+        self.clusters.version = self.version.get()[0] if self.version.exists() else 0
+
+    def _save(self) -> None:
+        self.window.update((-1 if self.now.end is None else self.now.end, self.now.extended, *self.came))
+        for state, rows in ((self.points, [([float(x) for x in p],) for p in self.now.points]), (self.later, [(t, [float(x) for x in p]) for t, p in self.now.later]), (self.model, [(i, [float(x) for x in c], float(w)) for i, c, w in self.clusters.model])):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        self.version.update((self.clusters.version,))
+        if self.now.end is not None:
+            self.handle.registerTimer(-(-self.now.end // 1000))
+
+    def _updates(self, closed: list[tuple[int, list]], firing: str) -> list[tuple]:
+        out = []
+        for end, points in closed:
+            before = {i: (c, w) for i, c, w in self.clusters.model}
+            model, version = self.clusters.update(points), self.clusters.version
+            out += [("model", version, end, i, [float(x) for x in c], float(w), label) + (None,) * 8 for i, c, w, label in model]
+            both = [(c, w, *before[i]) for i, c, w, _ in model if i in before]
+            distance = float(np.mean([np.linalg.norm(c - c0) for c, _, c0, _ in both])) if both else None
+            weight = float(np.mean([w - w0 for _, w, _, w0 in both])) if both else None
+            out.append(("metadata", version, end, None, None, None, None, distance, weight, len(model) - len(before), len(points), firing, *self.came))
+            self.came = [0, 0, 0]
+        return out
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=self.NAMES).astype({"index": "Int32", "k_difference": "Int32", "points": "Int64", "ahead": "Int64", "inside": "Int64", "behind": "Int64"}) if out else pd.DataFrame()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self._load()
+        found = pd.concat(list(rows))
+        found = found[found["features"].notna()].sort_values("t", kind="stable")
+        out = []
+        for t, p in zip(found["t"].tolist(), found["features"].tolist()):
+            end = self.now.end
+            self.came[1 if end is None or end - self.size <= t < end else 0 if t >= end else 2] += 1
+            out += self._updates(self.now.add(t, list(p)), "early")
+        self._save()
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._load()
+        delayed = self.now.extended
+        out = self._updates(self.now.advance(timerValues.getCurrentWatermarkInMs() * 1000), "delayed" if delayed else "regular")
+        self._save()
+        yield self._frame(out)
+
+    def close(self) -> None:
+        pass
+
+
 class AdaptiveWindow:
     """Collects points in tumbling windows that close early at a most, and go on to the next window if they have too few.
 
