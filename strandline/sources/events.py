@@ -20,6 +20,10 @@ def _delimited(spark: SparkSession, path: str, ddl: str, separator: str, header:
     reader = (spark.readStream if streaming else spark.read).schema(f"{ddl}, {BAD} string").options(**options)
     if streaming and files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if streaming and "." in name:
+        # A stream reads folders: a single file is the one of that name in its folder.
+        return reader.option("pathGlobFilter", name).csv(folder)
     return reader.csv(path)
 
 
@@ -31,7 +35,9 @@ def delimited(spark: SparkSession, path: str, ddl: str, separator: str = "|", he
 def malformed(spark: SparkSession, path: str, ddl: str, separator: str = "|", header: bool = True, streaming: bool = False) -> DataFrame:
     """(line): the lines that delimited() leaves out, for a sink of errors."""
     rows = _delimited(spark, path, ddl, separator, header, streaming, None)
-    return rows.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("line"))
+    # A query of the bad lines alone is refused: the other columns must be read with them.
+    others = F.to_csv(F.struct(*[c for c in rows.columns if c != BAD]))
+    return rows.where(F.col(BAD).isNotNull()).select(F.coalesce(F.col(BAD), others).alias("line"))
 
 
 def lines(spark: SparkSession, path: str, parse, streaming: bool = False) -> DataFrame:

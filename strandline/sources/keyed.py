@@ -59,8 +59,10 @@ class KeyedTable:
             self._fold(number)
 
     def _fold(self, number: int) -> None:
-        self.rows().withColumnRenamed("write", "written").write.mode("overwrite").parquet(f"{self.path}/base={number}")
-        for kind, limit in (("write", number), ("base", number - 1)):
+        """All before this write becomes one base; the write itself stays, as it may be repeated."""
+        if number - 1 not in self._numbers("base"):
+            self.rows(before=number).withColumnRenamed("write", "written").write.mode("overwrite").parquet(f"{self.path}/base={number - 1}")
+        for kind, limit in (("write", number - 1), ("base", number - 2)):
             for n in self._numbers(kind):
                 if n <= limit:
                     system, at = self._fs(f"{self.path}/{kind}={n}")

@@ -112,9 +112,9 @@ class ReplyTrees:
 
     def _mapping(self, number: int) -> DataFrame:
         """Comments resolved by earlier batches that can still be replied to."""
-        if not self.resolved.exists():
+        if not self.resolved.exists(before=number):
             return self.spark.createDataFrame([], "comment_id long, post_id long, ts long")
-        known = self.resolved.rows().where(F.col("write") < number)
+        known = self.resolved.rows(before=number)
         if self.ttl is not None:
             known = known.where(F.col("resolved_at") >= F.current_timestamp() - F.make_interval(secs=F.lit(float(self.ttl * 3600))))
         return known.select("comment_id", "post_id", "ts")
@@ -124,6 +124,7 @@ class ReplyTrees:
         comments = cut(waiting.unionByName(new.select(*[F.col(c).cast("long") for c in self.NAMES])))
         asked = comments.select(F.col("reply_to_comment_id").alias("comment_id")).where("comment_id is not null").distinct()
         mapping = self._mapping(number)
+        mappings = mapping.count()
         known = mapping.join(asked, "comment_id", "left_semi").select("comment_id", F.col("post_id").alias("reply_to_post_id"), F.lit(None).cast("long").alias("reply_to_comment_id"), "ts")
         tree = cut(replies.reply_tree(known.unionByName(comments)))
         rooted = comments.join(tree.where("post_id is not null").select("comment_id", "post_id"), "comment_id").select("comment_id", "post_id", "ts", F.current_timestamp().alias("resolved_at"))
@@ -140,8 +141,8 @@ class ReplyTrees:
         gone, left = open_.join(lost, "comment_id", "left_semi").select(*self.NAMES), open_.join(lost, "comment_id", "left_anti").select(*self.NAMES)
         gone.write.mode("overwrite").parquet(f"{self.folder}/dropped/batch={number}")
         left.write.mode("overwrite").parquet(f"{self.folder}/waiting/{number}")
-        counts = [F.lit(number).cast("long").alias("batch"), *(F.lit(d.count()).cast("long").alias(c) for c, d in (("resolved", rooted), ("dropped", gone), ("waiting", left), ("mappings", mapping)))]
-        self.spark.range(1).select(*counts).write.mode("overwrite").parquet(f"{self.folder}/metrics/number={number}")
+        counts = (number, rooted.count(), gone.count(), left.count(), mappings)
+        self.spark.createDataFrame([counts], "batch long, resolved long, dropped long, waiting long, mappings long").write.mode("overwrite").parquet(f"{self.folder}/metrics/number={number}")
         # What an older batch left waiting is not needed any more, as only the last one can run again.
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/waiting/{number - 2}")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -168,9 +168,9 @@ class ClusterUpdates(StatefulProcessor):
         if self.now.end is not None:
             self.handle.registerTimer(-(-self.now.end // 1000))
 
-    def _updates(self, closed: list[tuple[int, list]], firing: str) -> list[tuple]:
+    def _updates(self, closed: list[tuple[int, list, str]]) -> list[tuple]:
         out = []
-        for end, points in closed:
+        for end, points, firing in closed:
             before = {i: (c, w) for i, c, w in self.clusters.model}
             model, version = self.clusters.update(points), self.clusters.version
             out += [("model", version, end, i, [float(x) for x in c], float(w), label) + (None,) * 8 for i, c, w, label in model]
@@ -192,14 +192,13 @@ class ClusterUpdates(StatefulProcessor):
         for t, p in zip(found["t"].tolist(), found["features"].tolist()):
             end = self.now.end
             self.came[1 if end is None or end - self.size <= t < end else 0 if t >= end else 2] += 1
-            out += self._updates(self.now.add(t, list(p)), "early")
+            out += self._updates(self.now.add(t, list(p)))
         self._save()
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
-        delayed = self.now.extended
-        out = self._updates(self.now.advance(timerValues.getCurrentWatermarkInMs() * 1000), "delayed" if delayed else "regular")
+        out = self._updates(self.now.advance(timerValues.getCurrentWatermarkInMs() * 1000))
         self._save()
         yield self._frame(out)
 
@@ -210,15 +209,16 @@ class ClusterUpdates(StatefulProcessor):
 class AdaptiveWindow:
     """Collects points in tumbling windows that close early at a most, and go on to the next window if they have too few.
 
-    add() takes (time, point); advance() gives the points of every window that the watermark closes, as (end, points). A window closes at its end with more than
-    least points; one that was extended closes with least or more. Points for the next window wait in a buffer. Late points join the open window.
+    add() takes (time, point); advance() gives the points of every window that the watermark closes. Both give (end, points, firing): early if the window is full,
+    delayed if it was extended, regular if not. A window closes at its end with more than least points; one that was extended closes with least or more.
+    Points for the next window wait in a buffer. Late points join the open window.
     """
 
     def __init__(self, size: int, least: int, most: int):
         self.size, self.least, self.most = size, least, most
         self.end, self.extended, self.points, self.later = None, False, [], []
 
-    def add(self, t: int, point) -> list[tuple[int, list]]:
+    def add(self, t: int, point) -> list[tuple[int, list, str]]:
         if self.end is None:
             self.end = (t // self.size + 1) * self.size
         if t >= self.end:
@@ -226,16 +226,16 @@ class AdaptiveWindow:
             return []
         self.points.append(point)
         if len(self.points) >= self.most:
-            out, self.points, self.extended = [(self.end, self.points)], [], False
+            out, self.points, self.extended = [(self.end, self.points, "early")], [], False
             return out
         return []
 
-    def advance(self, watermark: int) -> list[tuple[int, list]]:
+    def advance(self, watermark: int) -> list[tuple[int, list, str]]:
         out = []
         while self.end is not None and watermark >= self.end:
             enough = len(self.points) >= self.least if self.extended else len(self.points) > self.least
             if enough:
-                out.append((self.end, self.points))
+                out.append((self.end, self.points, "delayed" if self.extended else "regular"))
                 self.points, self.extended = [], False
             elif self.points:
                 self.extended = True

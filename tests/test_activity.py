@@ -62,11 +62,11 @@ def test_distributed_lloyd(spark):
 
 def test_adaptive_window():
     w = AdaptiveWindow(10, 2, 4)
-    assert [x for t in (1, 2, 3) for x in w.add(t, t)] == [] and w.add(4, 4) == [(10, [1, 2, 3, 4])]
+    assert [x for t in (1, 2, 3) for x in w.add(t, t)] == [] and w.add(4, 4) == [(10, [1, 2, 3, 4], "early")]
     assert w.add(5, 5) == [] and w.advance(10) == []  # too few: goes on to 20
-    assert w.add(12, 12) == [] and w.advance(20) == [(20, [5, 12])]
+    assert w.add(12, 12) == [] and w.advance(20) == [(20, [5, 12], "delayed")]
     w.add(25, 25), w.add(31, 31), w.add(26, 26), w.add(27, 27)
-    assert w.advance(30) == [(30, [25, 26, 27])] and w.points == [31]
+    assert w.advance(30) == [(30, [25, 26, 27], "regular")] and w.points == [31]
 
 
 def test_streaming_clusters():
