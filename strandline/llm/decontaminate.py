@@ -96,7 +96,7 @@ class Shard:
         while len(s):
             on = lo < hi
             s, lo, hi = s[on], lo[on], hi[on]
-            deeper = least[item[s]] >= block + self.per
+            deeper = least[s] >= block + self.per
             if not deeper.any():
                 break
             want, at = keys[s[deeper] + block], deeper

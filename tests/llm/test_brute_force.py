@@ -189,6 +189,28 @@ def test_decontamination_against_all_positions(spark, docs, texts):
     assert got == want and want
 
 
+def test_items_of_mixed_lengths(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(60):
+        words, least = rng.choice([3, 8, 40]), rng.choice([1, 2, 3, 5, 6, 8, 13])
+        docs = [[f"w{rng.randrange(words)}" for _ in range(rng.randrange(30))] for _ in range(5)]
+        items = [[f"w{rng.randrange(words)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 9, 20]))] for _ in range(6)]
+        h, _, _, row = core.words(*core.text_bytes(pa.array(map(" ".join, items))))
+        first, end = np.searchsorted(row, np.arange(len(items))), np.searchsorted(row, np.arange(len(items)), "right")
+        monkeypatch.setattr(decontaminate, "load", lambda _: (pa.array(range(len(items))), h, first, end))
+        got = {x[:2]: x[2:] for _, *found in decontaminate.matches(pa.array(map(" ".join, docs)), ["one"], int((end - first).max()), least) for x in zip(*(a.tolist() for a in found))}
+        want = {}
+        for (i, d), (j, t) in itertools.product(enumerate(docs), enumerate(items)):
+            best = None
+            for x, y in itertools.product(range(len(d)), range(len(t))):
+                n = next((k for k, (a, b) in enumerate(zip(d[x:], t[y:])) if a != b), min(len(d) - x, len(t) - y))
+                if n >= min(least, len(t)) and (best is None or (-n, x, y) < best):
+                    best = (-n, x, y)
+            if best:
+                want[i, j] = (-best[0], *best[1:])
+        assert got == want
+
+
 def test_suffix_array_is_sorted():
     random.seed(7)
     h = np.array(random.choices(range(5), k=400), np.uint64)
