@@ -107,10 +107,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, tokeni
         return pa.Table.from_arrays(columns, ["doc_id", "piece", "pack", "bin", "start", "tokens"])
 
     sized = core.ids_only(docs, "doc_id", "text").mapInArrow(core.tidy(measure), "doc_id long, n long")
+    # Rows without an id may be many; others have their group by id and length alone.
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     # So few bytes would be read by one or two tasks if the partitions weren't numbered.
     tasks = min(packs, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
-        sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n"), F.lit(packs)).cast("int"))
+        sized.withColumn("pack", F.pmod(F.xxhash64("doc_id", "n", spread), F.lit(packs)).cast("int"))
         .repartition(tasks, "pack")
         .groupBy("pack")
         .applyInArrow(pack, "doc_id long, piece int, pack int, bin int, start int, tokens int")
