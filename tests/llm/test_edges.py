@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import core, decontaminate, katz, minhash, packing, secrets, suffixes, toxicity, training_order, transport, warc
 
@@ -118,3 +119,25 @@ def test_transport(spark):
     assert sorted((r.conv_id, r.pts, r.n_bytes, r.broken) for r in made) == [(1, 0, 2, False), (1, 0, 2, False), (1, 90_000, 0, False), (3, 0, len(LONG), False)]
     media = spark.createDataFrame([("a", None, 1), ("b", b"", 2), ("c", b"\x47" * 500, 3), ("d", b"no stream", 4)], "name string, media binary, pid int")
     assert transport.packets_of(media, "name", "media").count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages(spark, docs, none, at):
+    """Each stage of the pipeline on nulls, empty and very long texts, repeated rows and clashing names, and on no rows."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    # The fixture's ids are those of no labelled document of the table.
+    odd = docs.withColumn("doc_id", F.col("doc_id") + 10**9)
+    made = stage(spark, odd, SF)
+    got = sorted(r.doc_id - 10**9 for r in made.select("doc_id").distinct().collect() if r.doc_id is not None)
+    if name == "packing":
+        assert got == list(range(2, 15)) and made.groupBy("pack", "bin").agg(F.sum("tokens").alias("n")).where("n > 2048").count() == 0
+    else:
+        assert made.columns == docs.columns
+        assert got == {"toxicity": [x for x in range(15) if x != 11], "near_duplicates": [x for x in range(15) if x not in (7, 8, 10)]}.get(name, list(range(15)))
+        assert made.where("doc_id is null").count() == 1
+    assert stage(spark, none, SF).count() == 0

@@ -279,3 +279,48 @@ def test_packed_rows_are_the_bins_of_their_groups(spark):
         x = x.sort_values(["doc_id", "piece"])
         bins, start = packing.bins(x.tokens.to_numpy(), 64)
         assert bins.tolist() == x.bin.tolist() and start.tolist() == x.start.tolist()
+
+
+LETTERS = {toxicity.SELF: "s", toxicity.MODAL: "m", toxicity.THREAT: "t", toxicity.FORCE: "f", toxicity.HOPE: "h", toxicity.TARGET: "g", toxicity.DIE: "d"}
+MENACES = re.compile("s[^smth]*(?:m[^stf]*[tf]|t)[^sg]*(g)|s[^smth]*h[^sg]*g[^sd]*(d)")
+
+
+def plain_score(text, lang):
+    """The grammar's rules one after the other, each by looking back from a word, without a machine."""
+    T, kinds = toxicity, {}
+    for name in [lang] if lang in toxicity.LEXICON else toxicity.LEXICON:
+        for c, ws in toxicity.LEXICON[name].items():
+            for w in ws.split():
+                kinds.setdefault(w, c)
+    total = 0.0
+    for clause in re.split(r"[.!?;\n]", text.lower().replace("\u2019", "'")):
+        found = list(re.finditer(r"[0-9a-z\x80-\U0010ffff]+", clause))
+        c = [T.NEGATION if m.group() == "t" and re.search(r"[0-9a-z\x80-\U0010ffff]n'$", clause[: m.start()]) else kinds.get(m.group(), T.OTHER) for m in found]
+        called = []
+        for i, k in enumerate(c):
+            past = [x for x in c[:i] if x != T.NEGATION]
+            is_called = past[-1:] == [T.TARGET] or any(past[: len(past) - g][-2:] == [T.TARGET, T.BE] and T.TARGET not in past[len(past) - g :] for g in range(T.GAP + 1))
+            called.append((T.INSULT if is_called else T.OTHER) if k == T.WEAK else k)
+        near = lambda i: any(called[j] == T.NEGATION and T.TARGET not in called[j:i] for j in range(max(0, i - T.SCOPE), i))
+        whole = lambda i: T.NOBODY in called[:i] or any(called[j] == T.THINK and near(j) for j in range(i))
+        kept = [T.OTHER if k in (T.INSULT, T.MILD, T.THREAT, T.FORCE, T.HOPE, T.DIE) and (whole(i) or near(i)) else k for i, k in enumerate(called)]
+        weak = {T.INSULT: T.REPORTED, T.MILD: T.OTHER, T.THREAT: T.OTHER, T.FORCE: T.OTHER, T.DIE: T.OTHER}
+        kept = [weak.get(k, k) if T.REPORT in kept[:i] else k for i, k in enumerate(kept)]
+        for m in MENACES.finditer("".join(LETTERS.get(k, "-") for k in kept)):
+            kept[m.end() - 1] = T.MENACE
+        total += sum(T.WEIGHTS.get(T.AIMED if k == T.INSULT and T.TARGET in kept[:i] else k, 0) for i, k in enumerate(kept))
+    return total, len(re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower()))
+
+
+def test_toxicity_against_plain_rules(spark):
+    rng, rows = random.Random(17), []
+    for i in range(1500):
+        lang = rng.choice(["en", "de", "fr", "es", None])
+        by = [ws.split() for ws in toxicity.LEXICON[lang or rng.choice(["en", "de"])].values()]
+        words = [rng.choice(rng.choice(by)) if rng.random() < 0.75 else rng.choice(["table", "haus", "isn't", "don\u2019t", "x't", "river"]) for _ in range(rng.choice([3, 8, 20, 300]))]
+        rows.append((i, "".join(w + rng.choice([" "] * 6 + [", ", ". ", "! ", "\n"]) for w in words), lang))
+    got, _ = toxicity.scores(pa.array([r[1] for r in rows]), toxicity.grammar(), pa.array([r[2] for r in rows]))
+    want = [plain_score(t, lang) for _, t, lang in rows]
+    assert [(r, a, w) for r, a, (w, _) in zip(rows, got, want) if abs(a - w) > 1e-9] == [] and (got > 0).sum() > 300
+    listed = {r.doc_id for r in toxicity.rejected(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert listed == {r[0] for r, (w, n) in zip(rows, want) if w >= toxicity.THRESHOLD * max(1, n / toxicity.SPAN)} and 100 < len(listed) < 1400
