@@ -13,23 +13,27 @@ from strandline.llm import core, decontaminate, minhash, packing, secrets, toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The insults are learned from all labelled documents of the table, not only from those in docs."""
+    """docs without toxic ones. Insults are learned from the labels; null and empty texts are kept, repeated rows judged each, no rows give none."""
     return toxicity.keep_clean(docs, core.read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the least doc_id, of each group of near duplicates. Rows without words or id stay; rows of one doc_id stay or go together; no rows give none."""
     return minhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that hold a benchmark passage. Null and empty texts stay, repeated rows are judged each, no rows give none."""
     return decontaminate.keep_clean(docs, core.read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All of docs, with secrets in the text replaced. Null and empty texts stay as they are, repeated rows are redacted each, no rows give none."""
     return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs and their bins. Null and empty texts have none, repeated rows and rows without id are packed each, no rows give none; texts of any length are cut."""
     return packing.packed(docs)
 
 
