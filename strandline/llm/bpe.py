@@ -10,6 +10,7 @@ import base64
 import functools
 
 import numpy as np
+import pandas as pd
 import tiktoken
 
 from strandline.llm import core
@@ -51,23 +52,26 @@ class Bpe:
     def distinct(self, data: np.ndarray, offs: np.ndarray):
         """(tokens of all distinct pieces, first token of each and the end, piece of each place, row of each place)."""
         start, end, inner = self.pieces(data, offs)
-        _, first, which = np.unique(core.span_hash(data, start, end), return_index=True, return_inverse=True)
+        # By a hash table, in order of appearance: many pieces, few of them distinct, need no sort.
+        which, kinds = pd.factorize(core.span_hash(data, start, end))
+        first = np.empty(len(kinds), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         mem, whole = data.tobytes(), inner[first]
         order = np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])
         joined = [mem[a:b] for a, b in zip(start[first[order]].tolist(), end[first[order]].tolist())]
         k = int(whole.sum())
-        ids = self.encoding.encode_ordinary(b"".join(joined[:k]).decode())
+        ids = self.encoding.encode_to_numpy(b"".join(joined[:k]).decode(), disallowed_special=())
         ends = np.cumsum(self.size[ids])
-        bound = np.cumsum([len(x) for x in joined[:k]], dtype=np.int64)
+        bound = np.cumsum((end - start)[first[order[:k]]])
         count = np.searchsorted(ends, bound) + 1
         if k and not np.array_equal(ends[count - 1], bound):
             raise ValueError("a token crosses a cut")
         alone = [self.encoding.encode_ordinary(x.decode()) for x in joined[k:]]
-        tokens = np.array(ids + [t for x in alone for t in x], np.uint32)
+        tokens = np.concatenate([ids, np.array([t for x in alone for t in x], np.uint32)]).astype(np.uint32, copy=False)
         place = np.concatenate([[0], count, len(ids) + np.cumsum([len(x) for x in alone], dtype=np.int64)]).astype(np.int64)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return tokens, place, rank[which.ravel()], np.searchsorted(offs, start, "right") - 1
+        return tokens, place, rank[which], np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(start, offs)))
 
     def counts(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Tokens of each row."""
