@@ -13,15 +13,19 @@ def tokens(text: Column) -> Column:
 
 def text_features(text: Column) -> Column:
     """Ten times the share of distinct tokens (case ignored), the share all of whose characters are upper case, and the share of four characters. Three zeros without tokens."""
-    t = tokens(text)
-    n = F.size(t).cast("double")
-    share = lambda keep: F.size(F.filter(t, keep)).cast("double") / n
-    values = F.array(
-        10.0 * F.size(F.array_distinct(F.transform(t, F.lower))).cast("double") / n,
-        share(lambda w: w.rlike(r"^\p{Lu}+$")),
-        share(lambda w: F.char_length(w) == 4),
-    )
-    return F.when(n > 0, values).otherwise(F.array(*[F.lit(0.0)] * 3))
+
+    def features(t: Column) -> Column:
+        n = F.size(t).cast("double")
+        share = lambda keep: F.size(F.filter(t, keep)).cast("double") / n
+        values = F.array(
+            10.0 * F.size(F.array_distinct(F.transform(t, F.lower))).cast("double") / n,
+            share(lambda w: w.rlike(r"^\p{Lu}+$")),
+            share(lambda w: F.char_length(w) == 4),
+        )
+        return F.when(n > 0, values).otherwise(F.array(*[F.lit(0.0)] * 3))
+
+    # Bound as a lambda's variable, the tokens are cut once and not at each use.
+    return F.transform(F.array(tokens(text)), features)[0]
 
 
 def optional_string(value: Column) -> Column:
