@@ -5,7 +5,9 @@ at hashed places, the same for every document. A document throws the darts that
 bound that gives k ln k + 2k darts in all; each dart goes to a hashed coordinate, which keeps the one of least rank. Where a
 coordinate stays empty, the bound is doubled. Two signatures agree in a coordinate with the probability of the weighted
 Jaccard similarity. The cost is one cell per element and a fixed number of darts, not elements times coordinates.
-Pairs whose estimate is near the threshold are decided by the exact similarity of their shingles.
+Pairs whose estimate is clearly over the threshold are links at once. All others that meet it are found and decided exactly: shingles are
+counted over all texts, each text's are ordered by how rare they are, and two texts whose similarity is t or more share one of the first
+n - ceil(t n) + 1 of each (prefix filtering). Shingles of one text alone come first and need no partner, so that few are left to be met.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from strandline.llm.graph import components
 
 #: Coordinates, coordinates in a band, words in a shingle, least share of equal coordinates.
 K, ROWS, SHINGLE, THRESHOLD = 128, 3, 3, 0.45
-#: Standard errors of the estimate within which a pair is decided by its shingles.
+#: Standard errors by which an estimate must be over the threshold to be a link without its shingles.
 DOUBT = 4.0
+#: Bytes of text whose shingles one bucket counts, about.
+BUCKET = 16 << 20
+#: Pairs that a bucket holds before it drops repeated ones.
+HELD = 1 << 22
 #: Times the rank bound is doubled at most. A coordinate that is empty after 2 ** 20 times the expected darts has no probability to speak of; it is an error.
 DOUBLINGS = 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -115,6 +121,39 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: i
     return sig
 
 
+def elements(row: np.ndarray, g: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, element): a shingle that occurs w times is w elements, so that the weighted similarity is that of plain sets; rows ascend."""
+    times = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    row, g = np.repeat(row, weight), np.repeat(g, weight)
+    g = np.where(times > 0, core.mix(g + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), g)
+    order = np.argsort(row, kind="stable")
+    return row[order], g[order]
+
+
+def _spared(run):
+    """run, a function of a group, and then the memory that it used given back."""
+
+    def spared(table: pa.Table) -> pa.Table:
+        out = run(table)
+        core.give_back()
+        return out
+
+    return spared
+
+
+def _needed(n, threshold: float):
+    """Elements that a text of n shares with any text as similar as the threshold, at least."""
+    return np.ceil(threshold * n - 1e-9).astype(np.int64)
+
+
+def _wholes(row: np.ndarray, e: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of all elements whatever their order, number of elements) of the rows there."""
+    ends = np.searchsorted(row, there, "right")
+    size = ends - np.searchsorted(row, there)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(core.mix(e), dtype=np.uint64)])
+    return core.mix(sums[ends] - sums[ends - size] + size.astype(np.uint64)), size
+
+
 def _sign(k: int, rows: int, n: int):
     def run(batches):
         for batch in batches:
@@ -122,30 +161,82 @@ def _sign(k: int, rows: int, n: int):
                 h, _, _, row = core.words(data, offs)
                 if not len(h):
                     continue
-                sig = signatures(*shingles(h, row, n), hi - lo, k)
+                row, g, weight = shingles(h, row, n)
+                sig = signatures(row, g, weight, hi - lo, k)
                 there = np.flatnonzero(sig.any(1))
                 sig = sig[there]
                 bands = k // rows
                 keys = np.zeros((len(sig), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
                     keys = core.mix(keys * np.uint64(0xD6E8FEB86659FD93) + sig[:, r : bands * rows : rows])
-                whole = np.zeros(len(sig), np.uint64)
-                for c in range(k):
-                    whole = core.mix(whole * np.uint64(31) + sig[:, c])
+                whole, size = _wholes(*elements(row, g, weight), there)
                 small = np.ascontiguousarray(core.mix(sig).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(lo, hi - lo).take(pa.array(there)),
                         pa.array(core.signed(whole)),
+                        pa.array(size.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1, dtype=np.int32) * bands), pa.array(core.signed(keys.ravel()))),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
-                    ["doc_id", "whole", "bands", "sig"],
+                    ["doc_id", "whole", "n", "bands", "sig"],
                 )
 
     return run
 
 
+def _pack(text: np.ndarray, whole: np.ndarray, key: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(key, blob) for each key: its number of texts, their wholes and numbers of values, then the fields' values; rows ascend by key, then text."""
+    if not len(key):
+        return key, []
+    new = np.r_[True, key[1:] != key[:-1]]
+    heads = np.flatnonzero(new | np.r_[True, text[1:] != text[:-1]])
+    count = np.diff(np.r_[heads, len(key)]).astype(np.uint32)
+    names, starts = whole[text[heads]].astype(np.int64), np.flatnonzero(new)
+    at = np.searchsorted(heads, np.r_[starts, len(key)])
+    blobs = []
+    for i, j, x, y in zip(at[:-1].tolist(), at[1:].tolist(), starts.tolist(), np.r_[starts[1:], len(key)].tolist()):
+        blobs.append(np.array([j - i], np.int64).tobytes() + names[i:j].tobytes() + count[i:j].tobytes() + b"".join(f[x:y].tobytes() for f in fields))
+    return key[starts], blobs
+
+
+def _unpack(blobs, *types) -> list[np.ndarray]:
+    """[whole of each value, each field] of all blobs."""
+    out = [[np.zeros(0, t)] for t in (np.int64, *types)]
+    for blob in blobs:
+        x = blob.as_buffer()
+        m = int(np.frombuffer(x, np.int64, 1)[0])
+        count = np.frombuffer(x, np.uint32, m, 8 + 8 * m)
+        out[0].append(np.repeat(np.frombuffer(x, np.int64, m, 8), count))
+        at, size = 8 + 12 * m, int(count.sum(dtype=np.int64))
+        for o, t in zip(out[1:], types):
+            o.append(np.frombuffer(x, t, size, at))
+            at += size * np.dtype(t).itemsize
+    return [np.concatenate(o) for o in out]
+
+
+def _spread(n: int, buckets: int):
+    """(bucket, data): the elements of all texts by bucket, 32 bits of each."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in core.chunks(batch["text"], core.CHUNK // 2):
+                h, _, _, row = core.words(data, offs)
+                if not len(h):
+                    continue
+                row, e = elements(*shingles(h, row, n))
+                there, text = np.unique(row, return_inverse=True)
+                whole = core.signed(_wholes(row, e, there)[0])
+                bucket = ((e >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                keys, blobs = _pack(text[order], whole, bucket[order], e[order].astype(np.uint32))
+                for i in range(0, len(keys), 1 + (len(keys) << 24) // len(e)):
+                    j = i + 1 + (len(keys) << 24) // len(e)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(blobs[i:j], pa.binary())], ["bucket", "data"])
+
+    return run
+
+
 def _estimate(batches):
     """share: the estimated similarity of sig_a and sig_b."""
     for batch in batches:
@@ -156,79 +247,187 @@ def _estimate(batches):
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(share)], ["a", "b", "share"])
 
 
-def _sets(n: int):
-    """(doc_id, set): the hashed shingles of each text, ascending, then those that occur again, once for each time."""
+def _count(buckets: int):
+    """The elements of a bucket that more than one of all different texts have, sent to the part of each text, with a byte that grows with the number of texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        whole, e = _unpack(table["data"], np.uint32)
+        names, text = np.unique(whole, return_inverse=True)
+        # Of texts with the same elements one counts.
+        both = np.unique((e.astype(np.uint64) << np.uint64(32)) | text.astype(np.uint64))
+        e, text = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        count = np.diff(np.r_[np.flatnonzero(np.r_[True, e[1:] != e[:-1]]), len(e)])
+        count = np.repeat(count, count)
+        e, text, count = e[count > 1], text[count > 1], count[count > 1]
+        part = (names % buckets).astype(np.int32)[text]
+        order = np.lexsort((text, part))
+        parts, blobs = _pack(text[order], names, part[order], e[order], (np.log2(count[order]) * 8).astype(np.uint8))
+        bucket = pa.array([table["bucket"][0].as_py()] * len(parts), pa.int32())
+        return pa.table([pa.array(parts, pa.int32()), bucket, pa.array(blobs, pa.binary())], ["part", "bucket", "data"])
+
+    return run
+
+
+def _gather(threshold: float):
+    """The shared elements of each text of a part, rarest first; texts that have too few of them to be like another are left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        known = table.filter(table["data"].is_null()).sort_by("whole")
+        back = table.filter(table["data"].is_valid())
+        name, root, n = (known[c].to_numpy() for c in ("whole", "root", "n"))
+        whole, e, rank = [], [], []
+        for bucket, blob in zip(back["bucket"].to_pylist(), back["data"]):
+            w, x, r = _unpack([blob], np.uint32, np.uint8)
+            whole.append(w)
+            e.append(x.astype(np.uint64) | np.uint64(bucket << 32))
+            rank.append(r)
+        if not whole:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())], ["whole", "root", "n", "set"])
+        whole, e, rank = (np.concatenate(x) for x in (whole, e, rank))
+        at = np.searchsorted(name, whole)
+        if len(name) == 0 or (name[np.minimum(at, len(name) - 1)] != whole).any():
+            raise ValueError("two readings of the texts differ")
+        size = np.bincount(at, minlength=len(name))
+        enough = size >= np.maximum(1, _needed(n, threshold))
+        keep = enough[at]
+        at, e, rank = at[keep], e[keep], rank[keep]
+        order = np.lexsort((e, rank, at))
+        e, ends = e[order], np.cumsum(size[enough])
+        sets = [e[i:j].tobytes() for i, j in zip((ends - size[enough]).tolist(), ends.tolist())]
+        return pa.table([pa.array(name[enough]), pa.array(root[enough]), pa.array(n[enough].astype(np.int32)), pa.array(sets, pa.binary())], ["whole", "root", "n", "set"])
+
+    return run
+
+
+_POST = np.dtype([("e", np.uint32), ("n", np.int32), ("place", np.int32), ("whole", np.int64), ("root", np.int64)])
+
+
+def _post(threshold: float):
+    """(bucket, data): the elements among the first n - needed + 1 of each text; a field's values lie together."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in core.chunks(batch["text"], core.CHUNK // 2):
-                h, _, _, row = core.words(data, offs)
-                r, g, w = shingles(h, row, n)
-                g = (g >> np.uint64(32)).astype(np.uint32)
-                order = np.lexsort((g, r))
-                r, g, w = r[order], g[order], w[order]
-                ends = np.searchsorted(r, np.arange(hi - lo + 1))
-                out = []
-                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    again = np.repeat(g[i:j], w[i:j] - 1)
-                    out.append(np.array([j - i], np.uint32).tobytes() + g[i:j].tobytes() + again.tobytes())
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "set"])
+            if not batch.num_rows:
+                continue
+            n, size = batch["n"].to_numpy().astype(np.int64), np.array([len(x) // 8 for x in batch["set"].to_pylist()])
+            first = n - size
+            take = np.clip(n - _needed(n, threshold) + 1 - first, 0, size)
+            e = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64)[:t] for x, t in zip(batch["set"], take.tolist())])
+            text = np.repeat(np.arange(len(n)), take)
+            posts = {"n": n[text], "place": first[text] + np.arange(len(e)) - np.repeat(np.cumsum(take) - take, take), "whole": batch["whole"].to_numpy()[text], "root": batch["root"].to_numpy()[text]}
+            bucket = (e >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            bucket, posts = bucket[order], {"e": e[order]} | {c: x[order] for c, x in posts.items()}
+            heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+            blobs = [b"".join(posts[c][i:j].astype(_POST[c]).tobytes() for c in _POST.names) for i, j in zip(heads.tolist(), np.r_[heads[1:], len(bucket)].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     return run
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """The weighted Jaccard similarity of two texts' sets."""
-    x, y = (np.sort(np.frombuffer(z, np.uint32)[1:]) for z in (a, b))
-    if not len(x) or not len(y):
-        return 0.0
-    shared, at, to = np.intersect1d(x, y, return_indices=True)
-    both = int(np.minimum(np.searchsorted(x, shared, "right") - at, np.searchsorted(y, shared, "right") - to).sum())
-    return both / (len(x) + len(y) - both)
+def meet(e, n, place, whole, root, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): all pairs of texts of different roots that share an element of e, but those whose lengths and places in their texts leave no room for the threshold."""
+    order = np.lexsort((n, e))
+    e, n, place, root = e[order], n[order].astype(np.int64), place[order].astype(np.int64), root[order]
+    names, text = np.unique(whole[order], return_inverse=True)
+    end = np.searchsorted(e, e, "right")
+    head = np.searchsorted(e, e)
+    # A group whose texts have one root has no pair to give.
+    low, high = (f.reduceat(root, np.unique(head)) if len(root) else root for f in (np.minimum, np.maximum))
+    many = np.repeat(low != high, np.diff(np.r_[np.unique(head), len(e)]))
+    i, step, out, held = np.flatnonzero(many), 1, [np.zeros(0, np.int64)], 0
+    while len(i):
+        # Lengths ascend in a group: one that is too long for i is followed by longer ones.
+        i = i[i + step < end[i]]
+        i = i[n[i] >= threshold * n[i + step] - 1e-6]
+        j = i + step
+        room = np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = (root[i] != root[j]) & (room * (1 + threshold) >= threshold * (n[i] + n[j]) - 1e-6)
+        a, b = text[i[ok]], text[j[ok]]
+        out.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
+        held += len(out[-1])
+        if held > HELD:
+            out = [np.unique(np.concatenate(out))]
+            held = len(out[0]) // 2
+        step += 1
+    pairs = np.unique(np.concatenate(out))
+    return names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]
+
+
+def _meet(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: [] for c in _POST.names}
+        for blob in table["data"]:
+            x, at = np.frombuffer(blob.as_buffer(), np.uint8), 0
+            m = len(x) // _POST.itemsize
+            for c in _POST.names:
+                to = at + m * _POST[c].itemsize
+                columns[c].append(np.frombuffer(x[at:to].tobytes(), _POST[c]))
+                at = to
+        a, b = meet(*(np.concatenate(columns[c]) for c in _POST.names), threshold)
+        return pa.table([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
 
 
 def _verified(least: float):
+    """The pairs whose similarity is least or more. Elements of one text alone aren't in the sets, but in n."""
+
     def run(batches):
         for batch in batches:
-            keep = [similarity(a.as_py(), b.as_py()) >= least for a, b in zip(batch["set_a"], batch["set_b"])]
+            keep = []
+            for a, b, n, m in zip(batch["set_a"], batch["set_b"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist()):
+                both = len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True))
+                keep.append(both / (n + m - both) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, keep_id, exact) for every document but the kept one of each group of near duplicates.
+    """(doc_id, keep_id, exact) for every document but the kept one of each group of near duplicates; any other is a group of its own.
 
-    A group is a connected component of pairs whose weighted Jaccard similarity of word shingles (case is ignored) is threshold or more; it
-    is estimated from the signatures, and computed from the texts where the estimate is within DOUBT standard errors of the threshold.
-    A group keeps its least doc_id. exact: the signature is the same as that of another document
-    of the group. Of documents with one signature only the least doc_id is joined with others; in a band's bucket every
-    document is compared with two of it, the least and a hashed one, so a bucket costs its size and not its square.
+    A group is a connected component of pairs whose weighted Jaccard similarity of word shingles (case is ignored) is threshold or more. No
+    such pair is left out: those whose signatures meet in a band and whose estimate is DOUBT standard errors over the threshold are links
+    at once, and every pair between the groups of these is found by the rare shingles that it must share, and decided by its shingles.
+    A group keeps its least doc_id. exact: the shingles are the same as those of another document of the group; of such documents one
+    stands for all. In a band's bucket every text is compared with two of it, the least and a hashed one, which saves comparisons and loses none.
     Null and empty texts and null ids are in no group; rows of one doc_id are one document. A text without words is empty; one of any length is
     signed whole. An empty table gives no rows.
     """
     texts = core.ids_only(docs, "doc_id", "text").where("doc_id is not null")
-    sig = core.written(texts.mapInArrow(core.tidy(_sign(k, rows, shingle)), "doc_id long, whole long, bands array<long>, sig binary"))
-    # Frequent signatures and bands are aggregated before they are shuffled, and met by joins, which split a frequent key.
-    least = sig.groupBy("whole").agg(F.min("doc_id").alias("rep")).withColumnRenamed("whole", "of")
-    same = sig.select("doc_id", "whole").join(least, F.col("whole") == F.col("of")).select("doc_id", "rep")
-    reps = core.written(sig.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("x")).select("doc_id", "x.*").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = reps.select("doc_id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("other")).where("n > 1").select(F.col("band").alias("bucket"), "least", "other")
-    met = members.join(buckets, F.col("band") == F.col("bucket"))
-    edges = met.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("least", "other"))).alias("b")).where("a <> b")
+    buckets = 1 + (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET
+    tasks = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sig = core.written(texts.mapInArrow(core.tidy(_sign(k, rows, shingle)), "doc_id long, whole long, n int, bands array<long>, sig binary"))
+    # Frequent texts and bands are aggregated before they are shuffled, and met by joins, which split a frequent key.
+    reps = core.written(sig.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    members = reps.select("whole", F.explode("bands").alias("band"))
+    met = members.groupBy("band").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.min_by("whole", F.xxhash64("whole", "band")).alias("other")).where("n > 1").select(F.col("band").alias("bucket"), "least", "other")
+    edges = members.join(met, F.col("band") == F.col("bucket")).select(F.col("whole").alias("a"), F.explode(F.array_distinct(F.array("least", "other"))).alias("b")).where("a <> b")
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (reps.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    left, right = (reps.select(F.col("whole").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     doubt = DOUBT * math.sqrt(threshold * (1 - threshold) / k)
-    alike = core.written(edges.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(core.tidy(_estimate), "a long, b long, share double").where(F.col("share") >= threshold - doubt))
-    sure, near = alike.where(F.col("share") >= threshold + doubt).select("a", "b"), alike.where(F.col("share") < threshold + doubt).select("a", "b")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # The same join at every size: by broadcast the texts would stay in place, but only while the ids are few.
-    sets = core.written(texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(core.tidy(_sets(shingle)), "doc_id long, set binary").groupBy("doc_id").agg(F.first("set").alias("set")))
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    checked = near.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(core.tidy(_verified(threshold)), "a long, b long")
-    root = components(sure.unionByName(checked))
-    found = same.distinct().join(root, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("keep_id"), (F.col("doc_id") != F.col("rep")).alias("exact"))
+    sure = edges.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(core.tidy(_estimate), "a long, b long, share double").where(F.col("share") >= threshold + doubt).select("a", "b")
+    # The texts of a row of one doc_id belong together.
+    ids = sig.select("doc_id", "whole").distinct()
+    bound = ids.groupBy("doc_id").agg(F.min("whole").alias("a"), F.max("whole").alias("most")).where("a < most").select("doc_id", "a").join(ids, "doc_id").select("a", F.col("whole").alias("b")).where("a <> b")
+    first = components(sure.unionByName(bound))
+    # A text is sent once, to the buckets of its elements; what is shared comes back to its part, where its root is.
+    known = reps.join(first, F.col("whole") == F.col("node"), "left").select(F.pmod("whole", F.lit(buckets)).cast("int").alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "whole", F.coalesce("root", "whole").alias("root"), "n")
+    blobs = texts.mapInArrow(core.tidy(_spread(shingle, buckets)), "bucket int, data binary")
+    back = blobs.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_spared(_count(buckets)), "part int, bucket int, data binary")
+    back = back.select("part", "bucket", "data", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("n"))
+    sets = core.written(known.unionByName(back).repartition(tasks, "part").groupBy("part").applyInArrow(_spared(_gather(threshold)), "whole long, root long, n int, set binary"))
+    posts = sets.mapInArrow(core.tidy(_post(threshold)), "bucket int, data binary")
+    pairs = core.written(posts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_spared(_meet(threshold)), "a long, b long").distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = core.written(sets.join(wanted, F.col("whole") == F.col("id"), "left_semi").select("whole", "n", "set"))
+    left, right = (some.select(F.col("whole").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b", "n_a", "n_b").mapInArrow(core.tidy(_verified(threshold)), "a long, b long")
+    root = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(checked))
+    groups = reps.select("whole", "rep").join(root, F.col("whole") == F.col("node"), "left").select("whole", "rep", F.coalesce("root", "whole").alias("root"))
+    kept = groups.groupBy("root").agg(F.min("rep").alias("keep_id"))
+    found = ids.join(groups.join(kept, "root").select("whole", "rep", "keep_id"), "whole").select("doc_id", "keep_id", (F.col("doc_id") != F.col("rep")).alias("exact"))
     return found.where("doc_id <> keep_id").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"), F.max("exact").alias("exact"))
 
 
