@@ -26,10 +26,12 @@ from strandline.llm.graph import components
 K, ROWS, SHINGLE, THRESHOLD = 128, 3, 3, 0.45
 #: Standard errors by which an estimate must be over the threshold to be a link without its shingles.
 DOUBT = 4.0
-#: Bytes of text whose shingles one bucket counts, about.
-BUCKET = 16 << 20
+#: Bytes of text whose shingles one bucket counts, about, and the parts of a bucket (a power of two), of which one at a time is counted. A text has a part for its shared shingles too.
+BUCKET, SPLIT = 64 << 20, 4
 #: Pairs that a bucket holds before it drops repeated ones.
 HELD = 1 << 22
+#: Cells whose darts are thrown at once.
+CELLS = 1 << 17
 #: Times the rank bound is doubled at most. A coordinate that is empty after 2 ** 20 times the expected darts has no probability to speak of; it is an error.
 DOUBLINGS = 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -47,8 +49,18 @@ def shingles(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         more = size[size < n] > k
         lone[more] = core.mix(lone[more] * np.uint64(31) + h[at[more] + k])
     rows, g = np.concatenate([row[: len(g)][inside], short]), np.concatenate([g[inside], lone])
-    _, first, count = np.unique(g ^ core.mix(rows.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
-    return rows[first], g[first], count
+    key = g ^ core.mix(rows.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    head = np.flatnonzero(_new(key[order]))
+    # Any of equal ones stands for all; in order of rows.
+    first, count = np.minimum.reduceat(order, head) if len(head) else head, np.diff(np.r_[head, len(key)])
+    again = np.argsort(first)
+    return rows[first[again]], g[first[again]], count[again]
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
 
 
 def throw(row, element, weight, bound):
@@ -65,35 +77,40 @@ def throw(row, element, weight, bound):
             if not len(high):
                 break
             wide, tall = 2.0 ** (nu - rho), 2.0 ** (rho - nu)
-            for w in range(2**rho):
-                w0 = 2**nu - 1 + w * wide
-                some = high[weight[high] > w0] if nu and w else high
-                if not len(some):
-                    break
-                for r in range(2**nu):
-                    r0 = 2**rho - 1 + r * tall
-                    if r:
-                        some = some[top[some] > r0]
-                        if not len(some):
-                            break
-                    cell = int.from_bytes(np.array([nu, rho], np.uint16).tobytes() + np.array([(w * 2654435761 + r) & 0xFFFFFFFF], np.uint32).tobytes(), "little")
-                    z = core.mix(seed[some] ^ core.mix(np.array([cell], np.uint64)))
-                    darts = np.searchsorted(_POISSON, core.uniform(z), "right")
-                    j, left = 0, np.flatnonzero(darts)
-                    while len(left):
-                        a = core.mix(z[left] + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                        b = core.mix(a)
-                        i = some[left]
-                        rank = r0 + tall * core.uniform(b)
-                        ok = (w0 + wide * core.uniform(a) < weight[i]) & (rank < top[i])
-                        out[0].append(row[i[ok]])
-                        out[1].append(a[ok])
-                        out[2].append(rank[ok])
-                        j += 1
-                        left = left[darts[left] > j]
+            # The cells that an element reaches are taken together, so that short texts and frequent words, which reach many, take no more calls.
+            across = np.clip(np.ceil((weight[high] - (2**nu - 1)) / wide), 1, 2**rho).astype(np.int64)
+            up = np.clip(np.ceil((top[high] - (2**rho - 1)) / tall), 1, 2**nu).astype(np.int64)
+            ends = np.cumsum(across * up)
+            names = None if nu + rho > 12 else core.mix(_cells(nu, rho, np.repeat(np.arange(2**rho), 2**nu), np.tile(np.arange(2**nu), 2**rho)))
+            lo = 0
+            while lo < len(high):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")))
+                size = across[lo:hi] * up[lo:hi]
+                some = np.repeat(high[lo:hi], size)
+                w, r = np.divmod(np.arange(len(some)) - np.repeat(np.cumsum(size) - size, size), np.repeat(up[lo:hi], size))
+                lo = hi
+                z = core.mix(seed[some] ^ (core.mix(_cells(nu, rho, w, r)) if names is None else names[w * 2**nu + r]))
+                w0, r0 = 2**nu - 1 + w * wide, 2**rho - 1 + r * tall
+                darts = np.searchsorted(_POISSON, core.uniform(z), "right")
+                j, left = 0, np.flatnonzero(darts)
+                while len(left):
+                    a = core.mix(z[left] + np.uint64((2 * j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                    i = some[left]
+                    rank = r0[left] + tall * core.uniform(core.mix(a))
+                    ok = (w0[left] + wide * core.uniform(a) < weight[i]) & (rank < top[i])
+                    out[0].append(row[i[ok]])
+                    out[1].append(a[ok])
+                    out[2].append(rank[ok])
+                    j += 1
+                    left = left[darts[left] > j]
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in out)
 
 
+def _cells(nu: int, rho: int, w: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The numbers of the cells (w, r) of a tile."""
+    return (((w * 2654435761 + r) & 0xFFFFFFFF).astype(np.uint64) << np.uint64(32)) | np.uint64(nu | rho << 16)
+
+
 def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, k: int = K) -> np.ndarray:
     """The k dart names of each row; a row without elements has zeros."""
     total = np.bincount(row, weight, rows)
@@ -185,13 +202,24 @@ def _sign(k: int, rows: int, n: int):
     return run
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """The stable order of whole numbers from 0; plain numbers sort several times as fast as places."""
+    if not len(key) or int(key.max()) >> 32 or len(key) >> 32:
+        return np.argsort(key, kind="stable")
+    both = (key.astype(np.uint64) << np.uint64(32)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _pack(text: np.ndarray, whole: np.ndarray, key: np.ndarray, *fields: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(key, blob) for each key: its number of texts, their wholes and numbers of values, then the fields' values; rows ascend by key, then text."""
+    """(key, blob) for each key: its number of runs, their texts' wholes and numbers of values, then the fields' values; rows ascend by key, then text. A run has 255 values at most."""
     if not len(key):
         return key, []
-    new = np.r_[True, key[1:] != key[:-1]]
-    heads = np.flatnonzero(new | np.r_[True, text[1:] != text[:-1]])
-    count = np.diff(np.r_[heads, len(key)]).astype(np.uint32)
+    new = _new(key)
+    runs = np.flatnonzero(new | _new(text))
+    nth = np.arange(len(key)) - np.repeat(runs, np.diff(np.r_[runs, len(key)]))
+    heads = np.flatnonzero(nth % 255 == 0)
+    count = np.diff(np.r_[heads, len(key)]).astype(np.uint8)
     names, starts = whole[text[heads]].astype(np.int64), np.flatnonzero(new)
     at = np.searchsorted(heads, np.r_[starts, len(key)])
     blobs = []
@@ -201,18 +229,27 @@ def _pack(text: np.ndarray, whole: np.ndarray, key: np.ndarray, *fields: np.ndar
 
 
 def _unpack(blobs, *types) -> list[np.ndarray]:
-    """[whole of each value, each field] of all blobs."""
-    out = [[np.zeros(0, t)] for t in (np.int64, *types)]
+    """[whole of each run, values of each run, each field] of all blobs."""
+    out = [[] for _ in range(2 + len(types))]
     for blob in blobs:
         x = blob.as_buffer()
         m = int(np.frombuffer(x, np.int64, 1)[0])
-        count = np.frombuffer(x, np.uint32, m, 8 + 8 * m)
-        out[0].append(np.repeat(np.frombuffer(x, np.int64, m, 8), count))
-        at, size = 8 + 12 * m, int(count.sum(dtype=np.int64))
-        for o, t in zip(out[1:], types):
+        out[0].append(np.frombuffer(x, np.int64, m, 8))
+        out[1].append(np.frombuffer(x, np.uint8, m, 8 + 8 * m))
+        at, size = 8 + 9 * m, int(out[1][-1].sum(dtype=np.int64))
+        for o, t in zip(out[2:], types):
             o.append(np.frombuffer(x, t, size, at))
             at += size * np.dtype(t).itemsize
-    return [np.concatenate(o) for o in out]
+    return [o[0] if len(o) == 1 else np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, (np.int64, np.uint8, *types))]
+
+
+def _planes(e: np.ndarray) -> bytes:
+    """The first bytes of all elements, then the second ones and so on: those of high places are zeros, which compress."""
+    return e.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _elements(planes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def _spread(n: int, buckets: int):
@@ -228,7 +265,7 @@ def _spread(n: int, buckets: int):
                 there, text = np.unique(row, return_inverse=True)
                 whole = core.signed(_wholes(row, e, there)[0])
                 bucket = ((e >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
+                order = _order(bucket)
                 keys, blobs = _pack(text[order], whole, bucket[order], e[order].astype(np.uint32))
                 for i in range(0, len(keys), 1 + (len(keys) << 24) // len(e)):
                     j = i + 1 + (len(keys) << 24) // len(e)
@@ -247,23 +284,39 @@ def _estimate(batches):
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(share)], ["a", "b", "share"])
 
 
-def _count(buckets: int):
+def _count(parts: int):
     """The elements of a bucket that more than one of all different texts have, sent to the part of each text, with a byte that grows with the number of texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        whole, e = _unpack(table["data"], np.uint32)
-        names, text = np.unique(whole, return_inverse=True)
-        # Of texts with the same elements one counts.
-        both = np.unique((e.astype(np.uint64) << np.uint64(32)) | text.astype(np.uint64))
-        e, text = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        count = np.diff(np.r_[np.flatnonzero(np.r_[True, e[1:] != e[:-1]]), len(e)])
-        count = np.repeat(count, count)
-        e, text, count = e[count > 1], text[count > 1], count[count > 1]
-        part = (names % buckets).astype(np.int32)[text]
-        order = np.lexsort((text, part))
-        parts, blobs = _pack(text[order], names, part[order], e[order], (np.log2(count[order]) * 8).astype(np.uint8))
-        bucket = pa.array([table["bucket"][0].as_py()] * len(parts), pa.int32())
-        return pa.table([pa.array(parts, pa.int32()), bucket, pa.array(blobs, pa.binary())], ["part", "bucket", "data"])
+        blobs = [_unpack([blob], np.uint32) for blob in table["data"]]
+        names, text = np.unique(np.concatenate([whole for whole, _, _ in blobs]), return_inverse=True)
+        text = np.split(text.astype(np.uint32), np.cumsum([len(whole) for whole, _, _ in blobs])[:-1])
+        blobs = [(t, size, e) for t, (_, size, e) in zip(text, blobs)]
+        shared, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for k in range(SPLIT):
+            both = []
+            for t, size, e in blobs:
+                some = np.flatnonzero(e >> np.uint32(32 - SPLIT.bit_length() + 1) == k)
+                both.append((e[some].astype(np.uint64) << np.uint64(32)) | np.repeat(t, size)[some])
+            both = np.concatenate(both)
+            both.sort()
+            # Of texts with the same elements one counts.
+            both = both[_new(both)]
+            count = np.diff(np.r_[np.flatnonzero(_new(both >> np.uint64(32))), len(both)])
+            shared.append(both[np.repeat(count > 1, count)])
+            count = count[count > 1]
+            counts.append(np.repeat((np.log2(count) * 8).astype(np.uint8), count))
+            del both, count
+        del blobs
+        shared, counts = np.concatenate(shared), np.concatenate(counts)
+        part, text = (names % parts).astype(np.int32), (shared & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        place = np.empty(len(names), np.uint32)
+        place[_order(part)] = np.arange(len(names))
+        order = _order(place[text])
+        text = text[order]
+        keys, blobs = _pack(text, names, part[text], (shared[order] >> np.uint64(32)).astype(np.uint32), counts[order])
+        bucket = pa.array([table["bucket"][0].as_py()] * len(keys), pa.int32())
+        return pa.table([pa.array(keys, pa.int32()), bucket, pa.array(blobs, pa.binary())], ["part", "bucket", "data"])
 
     return run
 
@@ -273,27 +326,28 @@ def _gather(threshold: float):
 
     def run(table: pa.Table) -> pa.Table:
         known = table.filter(table["data"].is_null()).sort_by("whole")
-        back = table.filter(table["data"].is_valid())
+        # In a text's blobs elements ascend, and so they do over its buckets.
+        back = table.filter(table["data"].is_valid()).sort_by("bucket")
         name, root, n = (known[c].to_numpy() for c in ("whole", "root", "n"))
-        whole, e, rank = [], [], []
+        at, e, rank = [], [], []
         for bucket, blob in zip(back["bucket"].to_pylist(), back["data"]):
-            w, x, r = _unpack([blob], np.uint32, np.uint8)
-            whole.append(w)
+            w, size, x, r = _unpack([blob], np.uint32, np.uint8)
+            where = np.searchsorted(name, w)
+            if len(name) == 0 or (name[np.minimum(where, len(name) - 1)] != w).any():
+                raise ValueError("two readings of the texts differ")
+            at.append(np.repeat(where.astype(np.uint32), size))
             e.append(x.astype(np.uint64) | np.uint64(bucket << 32))
             rank.append(r)
-        if not whole:
+        if not at:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())], ["whole", "root", "n", "set"])
-        whole, e, rank = (np.concatenate(x) for x in (whole, e, rank))
-        at = np.searchsorted(name, whole)
-        if len(name) == 0 or (name[np.minimum(at, len(name) - 1)] != whole).any():
-            raise ValueError("two readings of the texts differ")
+        at, e, rank = (np.concatenate(x) for x in (at, e, rank))
         size = np.bincount(at, minlength=len(name))
         enough = size >= np.maximum(1, _needed(n, threshold))
         keep = enough[at]
         at, e, rank = at[keep], e[keep], rank[keep]
-        order = np.lexsort((e, rank, at))
+        order = _order((at.astype(np.uint64) << np.uint64(8)) | rank)
         e, ends = e[order], np.cumsum(size[enough])
-        sets = [e[i:j].tobytes() for i, j in zip((ends - size[enough]).tolist(), ends.tolist())]
+        sets = [_planes(e[i:j]) for i, j in zip((ends - size[enough]).tolist(), ends.tolist())]
         return pa.table([pa.array(name[enough]), pa.array(root[enough]), pa.array(n[enough].astype(np.int32)), pa.array(sets, pa.binary())], ["whole", "root", "n", "set"])
 
     return run
@@ -312,11 +366,11 @@ def _post(threshold: float):
             n, size = batch["n"].to_numpy().astype(np.int64), np.array([len(x) // 8 for x in batch["set"].to_pylist()])
             first = n - size
             take = np.clip(n - _needed(n, threshold) + 1 - first, 0, size)
-            e = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64)[:t] for x, t in zip(batch["set"], take.tolist())])
+            e = np.concatenate([_elements(x)[:t] for x, t in zip(batch["set"], take.tolist())])
             text = np.repeat(np.arange(len(n)), take)
             posts = {"n": n[text], "place": first[text] + np.arange(len(e)) - np.repeat(np.cumsum(take) - take, take), "whole": batch["whole"].to_numpy()[text], "root": batch["root"].to_numpy()[text]}
-            bucket = (e >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
+            bucket = (e >> np.uint64(32 - SPLIT.bit_length() + 1)).astype(np.int32)
+            order = _order(bucket)
             bucket, posts = bucket[order], {"e": e[order]} | {c: x[order] for c, x in posts.items()}
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
             blobs = [b"".join(posts[c][i:j].astype(_POST[c]).tobytes() for c in _POST.names) for i, j in zip(heads.tolist(), np.r_[heads[1:], len(bucket)].tolist())]
@@ -377,7 +431,7 @@ def _verified(least: float):
         for batch in batches:
             keep = []
             for a, b, n, m in zip(batch["set_a"], batch["set_b"], batch["n_a"].to_pylist(), batch["n_b"].to_pylist()):
-                both = len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True))
+                both = len(np.intersect1d(_elements(a), _elements(b), assume_unique=True))
                 keep.append(both / (n + m - both) >= least)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -391,19 +445,20 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows:
     such pair is left out: those whose signatures meet in a band and whose estimate is DOUBT standard errors over the threshold are links
     at once, and every pair between the groups of these is found by the rare shingles that it must share, and decided by its shingles.
     A group keeps its least doc_id. exact: the shingles are the same as those of another document of the group; of such documents one
-    stands for all. In a band's bucket every text is compared with two of it, the least and a hashed one, which saves comparisons and loses none.
+    stands for all. In a band's bucket every text is compared with two of it, the first and the last by hash, which saves comparisons and loses none.
     Null and empty texts and null ids are in no group; rows of one doc_id are one document. A text without words is empty; one of any length is
     signed whole. An empty table gives no rows.
     """
     texts = core.ids_only(docs, "doc_id", "text").where("doc_id is not null")
     buckets = 1 + (texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET
-    tasks = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = buckets * SPLIT
+    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sig = core.written(texts.mapInArrow(core.tidy(_sign(k, rows, shingle)), "doc_id long, whole long, n int, bands array<long>, sig binary"))
     # Frequent texts and bands are aggregated before they are shuffled, and met by joins, which split a frequent key.
     reps = core.written(sig.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     members = reps.select("whole", F.explode("bands").alias("band"))
-    met = members.groupBy("band").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.min_by("whole", F.xxhash64("whole", "band")).alias("other")).where("n > 1").select(F.col("band").alias("bucket"), "least", "other")
-    edges = members.join(met, F.col("band") == F.col("bucket")).select(F.col("whole").alias("a"), F.explode(F.array_distinct(F.array("least", "other"))).alias("b")).where("a <> b")
+    met = members.groupBy("band").agg(F.min("whole").alias("least"), F.max("whole").alias("last")).where("least < last").select(F.col("band").alias("bucket"), "least", "last")
+    edges = members.join(met, F.col("band") == F.col("bucket")).select(F.col("whole").alias("a"), F.explode(F.array("least", "last")).alias("b")).where("a <> b")
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left, right = (reps.select(F.col("whole").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     doubt = DOUBT * math.sqrt(threshold * (1 - threshold) / k)
@@ -413,13 +468,13 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, rows:
     bound = ids.groupBy("doc_id").agg(F.min("whole").alias("a"), F.max("whole").alias("most")).where("a < most").select("doc_id", "a").join(ids, "doc_id").select("a", F.col("whole").alias("b")).where("a <> b")
     first = components(sure.unionByName(bound))
     # A text is sent once, to the buckets of its elements; what is shared comes back to its part, where its root is.
-    known = reps.join(first, F.col("whole") == F.col("node"), "left").select(F.pmod("whole", F.lit(buckets)).cast("int").alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "whole", F.coalesce("root", "whole").alias("root"), "n")
+    known = reps.join(first, F.col("whole") == F.col("node"), "left").select(F.pmod("whole", F.lit(parts)).cast("int").alias("part"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"), "whole", F.coalesce("root", "whole").alias("root"), "n")
     blobs = texts.mapInArrow(core.tidy(_spread(shingle, buckets)), "bucket int, data binary")
-    back = blobs.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_spared(_count(buckets)), "part int, bucket int, data binary")
+    back = blobs.repartitionById(min(buckets, most), "bucket").groupBy("bucket").applyInArrow(_spared(_count(parts)), "part int, bucket int, data binary")
     back = back.select("part", "bucket", "data", F.lit(None).cast("long").alias("whole"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("int").alias("n"))
-    sets = core.written(known.unionByName(back).repartition(tasks, "part").groupBy("part").applyInArrow(_spared(_gather(threshold)), "whole long, root long, n int, set binary"))
+    sets = core.written(known.unionByName(back).repartitionById(min(parts, most), "part").groupBy("part").applyInArrow(_spared(_gather(threshold)), "whole long, root long, n int, set binary"))
     posts = sets.mapInArrow(core.tidy(_post(threshold)), "bucket int, data binary")
-    pairs = core.written(posts.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_spared(_meet(threshold)), "a long, b long").distinct())
+    pairs = core.written(posts.repartitionById(min(parts, most), "bucket").groupBy("bucket").applyInArrow(_spared(_meet(threshold)), "a long, b long").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = core.written(sets.join(wanted, F.col("whole") == F.col("id"), "left_semi").select("whole", "n", "set"))
     left, right = (some.select(F.col("whole").alias(c), F.col("n").alias(f"n_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
