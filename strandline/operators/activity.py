@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,18 +148,46 @@ def lloyd_distributed(points: DataFrame, centroids: list[tuple[int, list[float]]
 
     No fixed point in so many rounds is an error. The features are kept between the rounds, on disk where memory is short.
     """
-    spark, now, dims = points.sparkSession, centroids, len(centroids[0][1])
-    kept = points.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    now, dims = sorted(centroids, key=lambda c: c[0]), len(centroids[0][1])
+    kept = points.where("features is not null").select("features").mapInArrow(_blocks, "dims int, points binary").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(rounds):
-            model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in now], "index int, centroid array<double>")
-            sums = classified(kept, model).groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(F.col("features")[d]).alias(f"d{d}") for d in range(dims)]).collect()
-            found = {r["cluster"]: ([r[f"d{d}"] for d in range(dims)], float(r["n"])) for r in sums}
-            new = [(i, found.get(i, (c, 0.0))[0]) for i, c in now]
+            centres = np.array([[float(x) for x in c] for _, c in now])
+            # Rows come in the order of their tasks, so that sums don't depend on which was done first.
+            rows = sorted(map(tuple, kept.mapInArrow(lambda batches, centres=centres: _sums(batches, centres), "part int, n array<long>, sums array<double>").collect()))
+            size = np.sum([r[1] for r in rows], axis=0) if rows else np.zeros(len(now))
+            total = np.sum([r[2] for r in rows], axis=0).reshape(len(now), dims) if rows else np.zeros_like(centres)
+            new = [(i, (total[j] / size[j]).tolist() if size[j] else c) for j, (i, c) in enumerate(now)]
             shift = max(math.dist(a[1], b[1]) for a, b in zip(now, new))
             now = new
             if shift <= tolerance:
-                return [(i, list(c), found.get(i, (c, 0.0))[1]) for i, c in now]
+                return [(i, list(c), float(size[j])) for j, (i, c) in enumerate(now)]
     finally:
         kept.unpersist()
     raise ArithmeticError(f"no fixed point in {rounds} rounds")
+
+
+BLOCK = 4096
+
+
+def _blocks(batches):
+    """Arrays of features as packed blocks, which every round reads as they are."""
+    for batch in batches:
+        column = batch.column(0)
+        for at in range(0, len(column), BLOCK):
+            part = column.slice(at, BLOCK)
+            values = part.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_pydict({"dims": pa.array([len(values) // len(part)], pa.int32()), "points": pa.array([values.tobytes()], pa.binary())})
+
+
+def _sums(batches, centres: np.ndarray):
+    """How many points of a task are nearest to each centre, of equally near ones the first, and their sums: one row for all its blocks."""
+    n, sums = np.zeros(len(centres), np.int64), np.zeros(centres.shape)
+    for batch in batches:
+        for dims, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            points = np.frombuffer(packed.as_buffer(), "<f8").reshape(-1, dims)
+            which = np.argmin(np.stack([((points - c) ** 2).sum(1) for c in centres]), axis=0)
+            n += np.bincount(which, minlength=len(centres))
+            for j in range(len(centres)):
+                sums[j] += points[which == j].sum(0)
+    yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n.tolist()], pa.list_(pa.int64())), "sums": pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))})
