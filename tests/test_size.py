@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import lsh
-from strandline.operators import recommend
+from strandline.operators import activity, recommend
 from strandline.plans import registry, streams  # noqa: F401
+from strandline.sources import replay
+from strandline.streaming.processors import AdaptiveWindow, Waiting
 
 SF = "/root/testdata/sf0.001"
 
@@ -58,3 +60,89 @@ def test_known_without_a_join(spark):
     many = spark.range(1000).select(F.col("id").alias("person_id"), (F.col("id") % 3).alias("n"))
     got = {r.person_id: r.known for r in recommend.known_persons(many, "n").collect()}
     assert got == {i: list(range(i + 3, 1000, 3)) for i in range(997)}
+
+
+def test_circles_are_the_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(3)), rng.integers(0, 12, 5).astype(str).tolist()) for i in range(60)]
+    persons = spark.createDataFrame(rows, "person_id long, n long, features array<string>")
+    sigs = recommend.signatures(persons.select("person_id", "features"), 20)
+    queries = sigs.select("person_id", F.lit(1).alias("window_end"), "signature")
+    other = persons.select(F.col("person_id").alias("known_id"), "n")
+    pairs = persons.join(other, "n").where("person_id < known_id").select("person_id", "known_id")
+    found = recommend.candidates(queries, sigs, 20, 0.2)
+    mine = recommend.candidates(queries, sigs, 20, 0.2, circles=recommend.circles(persons, "n"))
+    assert found.count() > mine.count() > 0
+    assert sorted(mine.collect()) == sorted(recommend.exclude_known(found, pairs).collect())
+    similar = recommend.candidates(queries, sigs, 20, 0.2, least=0.5)
+    best = [sorted(recommend.top(x, queries, sigs, 5, 0.5).collect()) for x in (similar, found)]
+    assert best[0] == best[1] and len(best[0])
+
+
+def test_lloyd_without_a_lambda_for_each_point(spark, monkeypatch):
+    monkeypatch.setattr(activity, "classified", lambda *_: pytest.fail("a point at a time"))
+    points = np.concatenate([np.random.default_rng(8).normal(c, 1, (500, 3)) for c in (0, 3, 9)])
+    df = spark.createDataFrame([(x,) for x in points.tolist()], "features array<double>").repartition(3)
+    got = activity.lloyd_distributed(df, [(2, [9.0] * 3), (0, [0.0] * 3), (1, [1.0] * 3), (5, [99.0] * 3)])
+    centres = np.array([[0.0] * 3, [1.0] * 3, [9.0] * 3])
+    for _ in range(200):
+        which = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+        centres = np.array([points[which == j].mean(0) for j in range(3)])
+    assert [i for i, _, _ in got] == [0, 1, 2, 5] and got[3][1:] == ([99.0] * 3, 0)
+    assert np.allclose([c for _, c, _ in got[:3]], centres) and [w for _, _, w in got[:3]] == np.bincount(which).tolist()
+
+
+class State(dict):
+    """A map or a value in state, which notes what is read."""
+
+    def __init__(self):
+        self.read, self.value = [], None
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def getValue(self, key):
+        self.read.append(key)
+        return self[key]
+
+    removeKey = dict.pop
+
+    def update(self, value):
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+
+def test_only_the_opening_window_is_read(monkeypatch):
+    monkeypatch.setattr(Waiting, "PART", 2)
+    state, known = State(), State()
+    waiting = Waiting(state, known)
+    for end in (20, 30, 50):
+        waiting.add(end, np.array([[float(end), i] for i in range(3)]))
+    waiting.save()
+    w = AdaptiveWindow(10, 1, 100, Waiting(state, known))
+    w.begin(5)
+    assert list(w.join([[0, 0], [1, 1]])) == [] and len(w.closed(10).__next__()[1]) == 2
+    w = AdaptiveWindow(10, 1, 100, Waiting(state, known))
+    w.end = 10
+    assert [x for x in w.closed(10)] == [] and [list(p) for p in w.points] == [[20, 0], [20, 1], [20, 2]]
+    assert {end for end, _ in state.read} == {20} and {end for end, _ in state} == {30, 50}
+    assert [(end, len(p), f) for end, p, f in w.closed(60)] == [(20, 3, "regular"), (30, 3, "regular"), (50, 3, "regular")] and w.end is None
+
+
+def test_slices_have_files_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "FILE_ROWS", 10)
+    rows = spark.range(200).select("id", F.timestamp_seconds(F.when(F.col("id") < 60, 60).otherwise(F.col("id"))).alias("ts"))
+    at = str(tmp_path / "in")
+    files = replay.slices(rows, at, 4)
+    replay.write_batch(rows.limit(1), at, files)
+    assert files == 5
+    batches = []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda df, _: batches.append(sorted((r.ts, r.id) for r in df.collect()))).start().awaitTermination()
+    assert len(batches) == 5 and sum(map(len, batches)) == 201 and [r[1] for b in batches[:4] for r in b] == list(range(200))
+    assert all(a[-1][0] < b[0][0] for a, b in zip(batches[:3], batches[1:4]) if a and b)
